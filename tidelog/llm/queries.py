@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash
+from . import bpe, chat, html_text, langid, simhash, suffix_dedup
 from .common import table
 
 QUERIES = {}
@@ -24,11 +24,55 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: A conversation whose texts look like another template's control strings.
+PLANTED_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED_CHAT, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(chats.union(planted)))
+
+
+ORACLES["op3_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), steps AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nth FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(8 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + 8
+              + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 8) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN nth = 1 THEN role IN ('system', 'user')
+                     WHEN before = 'system' THEN role = 'user'
+                     WHEN before = 'user' THEN role = 'assistant'
+                     WHEN before = 'assistant' THEN role IN ('user', 'tool')
+                     WHEN before = 'tool' THEN role IN ('assistant', 'tool') ELSE false END) AS order_ok
+FROM steps GROUP BY conv_id
+"""
+
+
+@query
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), form=bpe.DIGEST)
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), suffix_dedup.DIGEST)
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
