@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 from .components import components
 
 DISTANCE = 3
@@ -93,67 +93,92 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
 
 
 def _masked(fp, low: int, width: int):
-    """For the bits from low on, width of them: an array of (bit, value with that bit cleared)."""
+    """For width bits from bit low on: an array of (number of the bit, those bits with it cleared)."""
     part = F.shiftrightunsigned(fp, low).bitwiseAND((1 << width) - 1) if width < 64 else fp
-    return F.array(*[F.struct(F.lit(b).cast("int").alias("bit"), part.bitwiseAND(~(1 << b)).alias("rest")) for b in range(width)])
+    return F.array(*[F.struct(F.lit(low + b).cast("long").alias("bit"), part.bitwiseAND(~(1 << b)).alias("rest")) for b in range(width)])
 
 
 def variants(distinct: DataFrame) -> DataFrame:
-    """fp under the key of each segment with each bit wildcarded: SEGMENTS * _WIDTH rows."""
-    rows = [F.transform(_masked(F.col("fp"), s * _WIDTH, _WIDTH), lambda v, s=s: F.struct((v.bit + s * _WIDTH).alias("bit"), v.rest.alias("rest"))) for s in range(SEGMENTS)]
-    return distinct.select("fp", F.explode(F.concat(*rows)).alias("v")).select("fp", F.col("v.bit").alias("bit"), F.col("v.rest").alias("rest"))
+    """key, fp: each fingerprint under each segment with each bit wildcarded, SEGMENTS * _WIDTH rows.
+    A key holds the number of the wildcarded bit above the rest of its segment."""
+    rows = [F.transform(_masked(F.col("fp"), s * _WIDTH, _WIDTH), lambda v: F.shiftleft(v.bit, _WIDTH).bitwiseOR(v.rest)) for s in range(SEGMENTS)]
+    return distinct.select(F.explode(F.concat(*rows)).alias("key"), "fp")
 
 
-def _links_of_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Forest links of groups that are bounded by SPLIT_OVER or by the pigeonhole argument; the
-    rows of a partition are sorted, so one group at a time is held."""
+_FOUND = "a long, b long, key long"
+
+
+def _links_of_groups(rows: DataFrame, keys: list[str], split_over: int | None) -> DataFrame:
+    """Forest links (a, b) of the groups of a key; of groups over split_over, the rows (a, key) instead.
+
+    A partition is sorted and streamed: split_over fingerprints of one group are held at most. None
+    is for groups that the pigeonhole argument bounds.
+    """
 
     def run(batches):
+        out: list[list[int]] = [[], [], []]
         held: list[np.ndarray] = []
-        last, out_a, out_b = None, [], []
+        last, size, passed = None, 0, False
+
+        def flush():
+            nonlocal out
+            cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())]
+            out = [[], [], []]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key"])
+
+        def pass_on():
+            for fps in held:
+                out[0].extend(fps.tolist())
+                out[1].extend([None] * len(fps))
+                out[2].extend([last[0]] * len(fps))
+            held.clear()
 
         def close():
-            fps = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-            for a, b in forest(fps):
-                out_a.append(a)
-                out_b.append(b)
+            if held:
+                for a, b in forest(np.unique(np.concatenate(held))) if size > 1 else []:
+                    out[0].append(a)
+                    out[1].append(b)
+                    out[2].append(None)
+                held.clear()
 
         for batch in batches:
-            ks = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in keys], 1) if batch.num_rows else np.zeros((0, len(keys)), np.int64)
+            if not batch.num_rows:
+                continue
+            ks = np.stack([np.asarray(batch.column(k)) for k in keys], 1)
             fps = np.asarray(batch.column("fp"))
-            cuts = [0, *(np.flatnonzero((ks[1:] != ks[:-1]).any(1)) + 1).tolist(), len(ks)]
-            for s, e in zip(cuts, cuts[1:]):
-                if s == e:
-                    continue
-                key = tuple(ks[s])
-                if last is not None and key != last:
+            new = np.r_[last is None or tuple(ks[0]) != last, (ks[1:] != ks[:-1]).any(1)]
+            begin = np.flatnonzero(new)
+            stop = np.r_[begin[1:], len(ks)]
+            lead = int(begin[0]) if len(begin) else len(ks)
+            # groups of one row, which most are, are passed over; the last may go on in the next batch
+            several = [(int(s), int(e)) for s, e in zip(begin, stop) if e - s > 1 or e == len(ks)]
+            for s, e in [(0, lead), *several] if lead else several:
+                if s >= lead:
                     close()
-                    held.clear()
-                last = key
+                    last, size, passed = tuple(ks[s]), 0, False
                 held.append(fps[s:e])
-            if len(out_a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-                out_a.clear()
-                out_b.clear()
+                size += e - s
+                if split_over is not None and (passed or size > split_over):
+                    passed = True
+                    pass_on()
+            if len(out[0]) > 10_000:
+                yield flush()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        yield flush()
 
-    sent = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return sent.select(*keys, "fp").mapInArrow(run, "a long, b long")
+    sent = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return sent.select(*keys, "fp").mapInArrow(run, _FOUND)
 
 
 def links(distinct: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """a, b: links that join all fingerprints within DISTANCE bits, directly or through others."""
-    keyed = variants(distinct)
-    groups = keyed.groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    groups = written(groups)
-    # most groups are pairs, which need no further look at their rows
-    pairs = groups.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
-    members = keyed.join(groups.where("n > 2").select("bit", "rest", "n"), ["bit", "rest"])
-    small = _links_of_groups(members.where(F.col("n") <= split_over), ["bit", "rest"])
-    out = pairs.union(small)
-    if groups.where(F.col("n") > split_over).limit(1).count():
-        out = out.union(_links_of_groups(_split(members.where(F.col("n") > split_over)), ["bit", "rest", "bit2", "rest2"]))
+    # the few rows are dealt out first: each becomes SEGMENTS * _WIDTH
+    keyed = variants(distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp"))
+    found = written(_links_of_groups(keyed, ["key"], split_over))
+    out = found.where("key is null").select("a", "b")
+    large = found.where("key is not null").select("key", F.col("a").alias("fp"))
+    if large.limit(1).count():
+        out = out.union(_links_of_groups(_split(large), ["key", "bit2", "rest2"], None).select("a", "b"))
     return out
 
 
@@ -164,9 +189,9 @@ def _split(members: DataFrame) -> DataFrame:
     parts = []
     for s in range(SEGMENTS):
         other = (1 - s) * _WIDTH
-        two = [F.transform(_masked(F.col("fp"), other + h * half, half), lambda v, h=h: F.struct((v.bit + h * half).alias("bit"), v.rest.alias("rest"))) for h in (0, 1)]
-        mine = members.where((F.col("bit") >= s * _WIDTH) & (F.col("bit") < (s + 1) * _WIDTH))
-        parts.append(mine.select("bit", "rest", "fp", F.explode(F.concat(*two)).alias("v")).select("bit", "rest", F.col("v.bit").alias("bit2"), F.col("v.rest").alias("rest2"), "fp"))
+        two = [_masked(F.col("fp"), other + h * half, half) for h in (0, 1)]
+        mine = members.where(F.shiftright("key", _WIDTH + 5) == s)
+        parts.append(mine.select("key", "fp", F.explode(F.concat(*two)).alias("v")).select("key", F.col("v.bit").alias("bit2"), F.col("v.rest").alias("rest2"), "fp"))
     return parts[0].union(parts[1])
 
 
