@@ -162,12 +162,18 @@ def _digest(n: int, ids: str, decoded: str) -> tuple:
     return n, sha(ids), sha(decoded)
 
 
+def _ids(n: int, ids: str, decoded: str) -> tuple:
+    return n, [int(i) for i in ids.split()], hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+
+
+IDS = (_ids, "n_tokens long, ids array<int>, decoded_sha256 string", [pa.int64(), pa.list_(pa.int32()), pa.string()])
 FULL = (_full, "n_tokens long, ids array<int>, decoded string", [pa.int64(), pa.list_(pa.int32()), pa.string()])
 DIGEST = (_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()])
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", form: tuple[Callable, str, list] = FULL) -> DataFrame:
-    """Each row's key with the ids of its whole text and what they decode to (FULL), or their digests (DIGEST)."""
+    """Each row's key with the ids of its whole text and what they decode to (FULL, or IDS with a digest
+    of the latter), or digests of both (DIGEST)."""
     finish, ddl, types = form
     names = [c.split()[0] for c in ddl.split(", ")]
 

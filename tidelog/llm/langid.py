@@ -35,6 +35,8 @@ BLOCK = 256
 #: Distinct letters that are told apart; all others are one letter that matches nothing.
 LETTERS = 60
 UNKNOWN = "und"
+#: Estimates above this many bits a letter are no known language's: texts in its letters stay far below.
+MAX_BITS = 7.5
 _MISS = np.int32(1 << 30)
 _PAD, _SPACE, _OTHER = 0, 1, 2
 _SLICE_BYTES = 4 << 20
@@ -244,3 +246,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_letter double")
+
+
+def accepted(docs: DataFrame, model: Model, max_bits: float = MAX_BITS) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in some known language; a null lang
+    becomes the predicted one. Texts without a letter go, and texts whose estimate is above max_bits,
+    as that of letters which no language's sample holds."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", _SLICE_BYTES):
+                langs, _, rate = shared.value.predict(*utf8_buffer(batch.column("text")))
+                keep = pa.array([x != UNKNOWN and r <= max_bits for x, r in zip(langs, rate)], pa.bool_())
+                cols = {n: batch.column(n) for n in names}
+                cols["lang"] = pa.array([a if a is not None else b for a, b in zip(cols["lang"].to_pylist(), langs)], pa.string())
+                yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
