@@ -22,11 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes a query's shuffle files when the query ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors. What its
+    computation shuffled is gone afterwards."""
     spark = df.sparkSession
     path = folder or shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # the setting is read where a query is planned
+        df.select("*").write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

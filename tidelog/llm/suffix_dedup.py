@@ -265,16 +265,17 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
     blocks = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_blocks, f"{_ROWS}, weight long")
     blocks = blocks.withColumns({"total": F.sum("weight").over(per_key), "low": F.min("span").over(per_key), "high": F.max("span").over(per_key)}).where("total > 1")
     blocks = blocks.withColumns({"alike": F.sum("weight").over(per_span), "nth": F.row_number().over(per_span.orderBy(F.desc("weight"), *_ID, "first"))})
+    blocks = written(blocks.select(*_ID, "first", "count", "weight", "alike", "nth", (F.col("low") != F.col("high")).alias("mixed")))
     covered.append(blocks.where("weight = 1 and alike > 1").select(*_ID, "first", "count"))
-    open_blocks = blocks.where("low <> high and nth = 1").select(*_ID, "first", "count", F.least("alike", F.lit(2)).alias("weight"))
+    open_blocks = blocks.where("mixed and nth = 1").select(*_ID, "first", "count", F.least("alike", F.lit(2)).alias("weight"))
 
     # round 3
     joined = docs.join(_by_text(open_blocks, "first", "count", "weight"), _ID)
     positions = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_positions, "key long, key2 long, t1 long, t2 int, first long, weight long")
     positions = positions.withColumn("total", F.sum("weight").over(Window.partitionBy("key", "key2"))).where("total > 1 and weight = 1")
-    covered.append(positions.select(*_ID, "first", F.lit(1).alias("count")))
+    covered.append(written(positions.select(*_ID, "first", F.lit(1).alias("count"))))
 
-    found = covered[0].unionByName(covered[1]).unionByName(covered[2])
-    out = docs.join(_by_text(found, "first", "count"), _ID, "left").select("doc_id", "text", "rows")
+    found = written(_by_text(covered[0].unionByName(covered[1]).unionByName(covered[2]), "first", "count"))
+    out = docs.join(found, _ID, "left").select("doc_id", "text", "rows")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return out.mapInArrow(_finish(form), f"doc_id {kind}, {form[1]}")
