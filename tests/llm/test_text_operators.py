@@ -1,0 +1,269 @@
+"""BPE, language, chats, pages, licences and pseudonyms against brute force and edge cases."""
+
+import hashlib
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidelog.llm import bpe, chat, html_text, langid, licenses, pii
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+HARD = ["", "ΑΣ ΣΣ. İstanbul DŽ", "a\x1cb c", "<|endoftext|> hi<|startoftext|>", "don't I'LL é ½²Ⅷ", "日本語 テキスト🙂", "x" * 3000, "ab" * 700 + " " + "é" * 400, "\u0000 ​", "ﬁ ß ẞ", "12345 a1b2", "K Å ſ", " \n\t "]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.mark.parametrize("text", HARD)
+def test_bpe_hard_texts(library, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    t = bpe.tokenizer(PATH)
+    assert t.encode(text) == ids
+    assert t.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_bpe_equals_the_library(text):
+    from tokenizers import Tokenizer
+
+    lib = _cached.setdefault("t", Tokenizer.from_file(PATH))
+    ids = lib.encode(text, add_special_tokens=False).ids
+    assert bpe.tokenizer(PATH).encode(text) == ids
+
+
+_cached: dict = {}
+
+
+def test_both_merges_agree():
+    t = bpe.tokenizer(PATH)
+    for word in ("internationalization", "thththethan", "aaaaaaa", "banana" * 10):
+        parts = [t.alphabet[b] for b in word.encode()]
+        parts[-1] += t.suffix
+        assert t.merge(list(parts)) == t._merge_long(list(parts))
+
+
+def test_bpe_rows(spark, library):
+    df = spark.createDataFrame([(1, "Hello world", 5), (1, "Hello world", 5), (None, None, 6), (3, "", 7)], "doc_id long, text string, n_tokens int")
+    rows = sorted(map(tuple, bpe.encode_documents(df, PATH, form=bpe.DIGEST).collect()), key=str)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert rows.count((3, 0, empty, empty)) == 1 and (None, 0, empty, empty) in rows and len(rows) == 4
+    full = bpe.encode_documents(df.where("doc_id = 1"), PATH).first()
+    assert full.ids == library.encode("Hello world").ids and full.n_tokens == len(full.ids)
+    assert bpe.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def _phrases(text: str, sample: str) -> int:
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+def test_phrases_equal_brute_force():
+    samples = {"x": ["the cat sat on the mat and the rat ate the cat"], "y": ["le chat est sur la table et le rat mange le chat"]}
+    m = langid.Model.fit(samples)
+    texts = ["the cat ate the mat", "le rat est sur le chat", "zzz the qqq", "a", "the the the"]
+    from tidelog.llm.common import utf8_buffer
+    import pyarrow as pa
+
+    counts, letters = m.phrases(*utf8_buffer(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert letters[i] == sum(c.isalpha() for c in t)
+        for j, lang in enumerate(m.langs):
+            assert counts[j, i] == _phrases(t, samples[lang][0])
+
+
+def test_language_rows(spark):
+    en = "the house and the garden of the king were in the middle of the town and all the people of the town came to see them "
+    fr = "la maison et le jardin du roi sont au milieu de la ville et tous les gens de la ville sont venus pour les voir "
+    rows = [(i, (en if i % 2 else fr) * 3, "en" if i % 2 else "fr", 0.0) for i in range(30)]
+    rows += [(100, None, None, 0.0), (101, "", "en", 0.0), (102, "12 !?", "fr", 0.0), (None, "le jardin de la ville " * 3, None, 0.0), (103, "the people of the town " * 3, None, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    model = langid.fit(df)
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert all(got[i].lang_pred == ("en" if i % 2 else "fr") and 0 <= got[i].score <= 1 for i in range(30))
+    assert [got[i].lang_pred for i in (100, 101, 102, None, 103)] == ["und", "und", "und", "fr", "en"]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(30)) and got[None].held_out is False
+    kept = {r.doc_id: r.lang for r in langid.accepted(df, model).collect()}
+    assert set(kept) == set(got) - {100, 101, 102} and kept[103] == "en" and langid.accepted(df, model).columns == df.columns
+    nothing = langid.fit(df.limit(0))
+    assert [r.lang_pred for r in langid.identify(df.limit(1), nothing).collect()] == ["und"]
+
+
+def test_held_out_rows_teach_nothing(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2][:5]
+    df = spark.createDataFrame([(i, "secret words " * 40, "xx") for i in held], "doc_id long, text string, lang string")
+    assert langid.fit(df).langs == []
+
+
+def test_accuracy_on_rows_that_were_held_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(df, langid.fit(df)).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    n, right = got.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert right / n > 0.97
+
+
+control = st.text(alphabet="<|\\turnxend>\n ", max_size=30)
+
+
+@given(control, control)
+def test_escapes_are_reversible(role, text):
+    assert chat.unescaped(chat.escaped(text)) == text and "<|" not in chat.escaped(text)
+    reader = chat.Reader(chat.TEMPLATE)
+    for part, loss in chat.segments(role, text):
+        reader.read(part, loss, True)
+    assert reader.row(0)[1:3] == (1, hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest())
+
+
+def test_chats(spark):
+    rows = [(1, 1, "assistant", "a<|end|>\n"), (1, 0, "user", "hi"), (2, 0, "assistant", None), (2, None, "user", "x"), (None, 0, None, "n"), (3, 0, "user", "p"), (3, 0, "user", "p")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, loss int")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1].turns_sha256 == sha("user\nhi\nassistant\na<|end|>\n\n") and got[1].loss_sha256 == sha("a<|end|>\n") and got[1].order_ok
+    assert got[2].turns_sha256 == sha("user\nx\nassistant\n\n") and got[2].loss_chars == 0 and got[None].turns_sha256 == sha("\nn\n")
+    assert got[3].n_turns == 2 and not got[3].order_ok and not got[None].order_ok
+    whole = "".join(r.text for r in chat.format_chats(df.where("conv_id = 1")).collect())
+    assert len(whole) == got[1].formatted_chars
+    assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+
+
+LONG = "It is one of the things that we have to do in all of the years to come, and it is not for us to say that this was what they had to do when they were there. It is one of the things that we have to do in all of our years."
+PAGES = [
+    (f"<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{LONG}<p>Short &amp; &lt;sweet&gt;.</p></article><footer>(c) x</footer></body>", f"Head\n{LONG}\nShort & <sweet>."),
+    (f"<div class='site-header'>Welcome all of you to the site</div><div><h2>Head</h2><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div id=comments><p>{LONG}</p></div>", f"Head\n{LONG}\nShort one.\n{LONG}"),
+    (f"<main><p>{LONG}</p><div class=newsletter-signup>{LONG}</div><form><p>{LONG}</p></form><aside><p>{LONG}</p></aside><script>var t='</p>';</script></main>", LONG),
+    (f"<article><p>a<br>b&nbsp;c</p><!-- <p>x</p> --><p>{LONG}</p><section class=comments><article class=comment><p>{LONG}</p></article></section></article>", f"a b c\n{LONG}"),
+    (f"<body><div class='cookie-notice'><p>{LONG}</p></div><p>{LONG}</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></body>", LONG),
+    (None, ""),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("source,want", PAGES)
+def test_pages(source, want):
+    assert html_text.main_text(source) == want
+
+
+def test_page_rows(spark):
+    df = spark.createDataFrame([(i, "u", s, 3) for i, (s, _) in enumerate(PAGES)] + [(None, None, PAGES[0][0], 3)], "page_id long, url string, html string, n_chars int")
+    got = {r.page_id: r for r in html_text.extract(df).collect()}
+    assert all(got[i].text == w and got[i].n_chars == len(w) for i, (_, w) in enumerate(PAGES)) and got[None].url is None
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="<>/pa='\"! -\ndivbr&;", max_size=80))
+def test_any_markup_is_read(source):
+    html_text.main_text(source)
+
+
+@pytest.mark.parametrize("depth", [20_000])
+def test_long_and_deep_pages(depth):
+    assert html_text.main_text("<div>" * depth + LONG + "</div>" * depth) == LONG
+    html_text.main_text("<" * depth + "<a " * depth + "'" * depth)
+
+
+def test_licences(spark):
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n'
+    cases = {
+        "Some words.\nReleased under the MIT License.": [("mit-notice", "MIT", 1, 1)],
+        apache: [("apache-header", "Apache-2.0", 0, 1)],
+        "Licensed under the Apache License, Version 2.0.\nx\nLICENSED under the apache license,  version 2.0": [("apache-notice", "Apache-2.0", 0, 2)],
+        "Licensed under CC BY-NC 4.0. This work is licensed under the GNU General Public License, version 3.": [("cc-by-nc-notice", "CC-BY-NC-4.0", 0, 1), ("gpl3-notice", "GPL-3.0-only", 1, 1)],
+        "The MIT campus is large. A license is needed.": [],
+        "": [],
+    }
+    scanner = licenses.Scanner()
+    for text, want in cases.items():
+        assert scanner.scan(text) == want
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*cases, None])] + [(0, list(cases)[0], "x")], "doc_id long, text string, rule string")
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(df).collect()) == [(0, "MIT"), (0, "MIT"), (1, "Apache-2.0"), (2, "Apache-2.0"), (3, "CC-BY-NC-4.0"), (3, "GPL-3.0-only")]
+
+
+def test_whole_texts_of_all_licences_are_found():
+    scanner = licenses.Scanner()
+    for rule, licence, ids in licenses.RULES:
+        text = "\n".join(licenses.SENTENCES[i][0] for i in ids)
+        assert (rule, licence) in {x[:2] for x in scanner.scan(text)}
+
+
+def _luhn(digits: str) -> bool:
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(digits[::-1])) % 10 == 0
+
+
+def _own_feistel(values, bases, kind, key):
+    s = list(values)
+    half = len(s) // 2
+    for i in range(pii.ROUNDS):
+        moves = [j for j in range(len(s)) if (j < half) == (i % 2 == 0)]
+        other = ",".join(str(x) for j, x in enumerate(s) if j not in moves)
+        h = hashlib.sha512("|".join([key, kind, ",".join(map(str, bases)), str(i), other, key]).encode()).hexdigest()
+        for j in moves:
+            s[j] = (s[j] + int(h[4 * (j % 32) : 4 * (j % 32) + 4], 16) + 7919 * (j // 32)) % bases[j]
+    return s
+
+
+def test_pseudonyms(spark):
+    texts = [
+        "Call +1 (988) 555-2485 or 988-555-2485 now.", "card 4041894974608795, again 4041 8949 7460 8795 bad 4041894974608796", "Mail bosbt.42@mail8.example.com, BOSBT.42@mail8.example.com.",
+        "ip 42.144.35.254. and 300.1.1.1", "password=e3b3ed3cc8548923d6 token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" x", "2001-02-28, 28/02/2001, 12/25/2020 31.12.1999 2000-02-29 2021-02-29",
+        "ssn 123-45-6789 000-12-3456", None, "", "nothing here", "v1.2.3.4 and 12345",
+    ]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, m string")
+    out = pii.pseudonymise(df, "k-1")
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    assert out.columns == df.columns
+    assert got[7:] == texts[7:]
+    phone = re.fullmatch(r"Call \+1 \((\d{3})\) (\d{3}-\d{4}) or (\d{3})-(\d{3}-\d{4}) now\.", got[0])
+    assert phone and phone[1] + phone[2] == phone[3] + phone[4] != "988555-2485" and phone[1][0] in "23456789"
+    card = re.fullmatch(r"card (\d{16}), again (\d{4} \d{4} \d{4} \d{4}) bad 4041894974608796", got[1])
+    assert card and card[1] == card[2].replace(" ", "") and _luhn(card[1])
+    assert card[1][:15] == "".join(map(str, _own_feistel(map(int, "404189497460879"), [10] * 15, "card", "k-1")))
+    mail = re.fullmatch(r"Mail ([a-z]{5}\.\d\d)@mail8\.example\.com, \1@mail8\.example\.com\.", got[2])
+    assert mail and mail[1] != "bosbt.42"
+    ip = re.fullmatch(r"ip ([\d.]+)\. and 300\.1\.1\.1", got[3])
+    assert [int(x) for x in ip[1].split(".")] == _own_feistel([42, 144, 35, 254], [256] * 4, "ip", "k-1")
+    assert re.fullmatch(r"password=[0-9a-f]{18} token = \"[0-9a-f]{40}\" x", got[4]) and "e3b3" not in got[4]
+    dates = re.fullmatch(r"(\d{4})-(\d\d)-(\d\d), (\d\d)/(\d\d)/(\d{4}), (\d\d)/(\d\d)/\d{4} 31\.(\d\d)\.\d{4} (\d{4})-02-29 2021-02-29", got[5])
+    assert dates and (dates[1], dates[2], dates[3]) == (dates[6], dates[5], dates[4]) and int(dates[8]) > 12 and int(dates[9]) in (1, 3, 5, 7, 8, 10, 12) and int(dates[10]) % 4 == 0
+    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4} 000-12-3456", got[6]) and "123-45-6789" not in got[6]
+    assert [r.text for r in pii.pseudonymise(df, "k-2").orderBy("doc_id").collect()] != got
+    assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_formats_are_permuted_one_to_one(spark):
+    days = spark.range(28 * 12 * 2).selectExpr("format_string('%04d-%02d-%02d', 1990 + cast(id div 336 as int), cast(id % 336 div 28 as int) + 1, cast(id % 28 as int) + 1) as text")
+    ends = spark.sql("select date_format(d, 'yyyy-MM-dd') as text from (select explode(sequence(date'1999-01-01', date'2002-12-31')) d) where day(d) > 28")
+    numbers = spark.range(5000).selectExpr("format_string('%03d-%02d-%04d', 100 + cast(id div 100 as int), cast(id % 99 as int) + 1, cast(id as int) + 1) as text")
+    for df in (days, ends, numbers):
+        out = pii.pseudonymise(df)
+        assert out.distinct().count() == df.distinct().count()
+    assert pii.pseudonymise(days.union(ends)).where("try_to_date(text, 'yyyy-MM-dd') is null").count() == 0
+
+
+def test_long_texts_do_not_stall(spark):
+    df = spark.createDataFrame([("a" * 300_000,), ("1" * 200_000,), ("1-" * 100_000,), ("+1 " * 50_000,), ("a.b" * 50_000 + "@",)], "text string")
+    assert pii.pseudonymise(df).collect() == df.collect()
+
+
+def test_every_letter_is_split_as_by_the_library(library):
+    """Each character after a letter, a digit and a sign; by blocks, as encoding is per white space."""
+    t = bpe.tokenizer(PATH)
+    for low in range(0, 0x20000, 0x400):
+        text = " ".join(f"a{chr(i)}! {chr(i)}" for i in range(low, low + 0x400) if not 0xD800 <= i < 0xE000)
+        if text:
+            assert t.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(low)

@@ -15,11 +15,11 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 #: Words of more parts than this use the heap.
@@ -28,6 +28,40 @@ SCAN_LIMIT = 256
 CACHE_WORDS = 300_000
 _FAR = 1 << 60
 
+# The vocabulary's library splits by Unicode 16.0 and lowers letters by 17.0; Python knows 15.1.
+#: Letters and numbers that Unicode 16.0 added, in hexadecimal.
+_NEW_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 "
+    "113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+)
+_NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Capitals that 16.0 and 17.0 added.
+_NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_NEW_LOWER |= {i: i + 0x20 for i in range(0x10D50, 0x10D66)} | {i: i + 0x1B for i in range(0x16EA0, 0x16EB9)}
+# letters by themselves, so that the last sigma of a word is like any other
+_LOWER = _NEW_LOWER | {ord("Σ"): ord("σ")}
+_ODD_CAPITALS = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+
+
+def _ranges(category: str, added: str) -> str:
+    """A character class's content: all of a category, with what was added to it."""
+    out, first = [], None
+    for i in range(sys.maxunicode + 2):
+        inside = i <= sys.maxunicode and unicodedata.category(chr(i))[0] == category
+        if inside and first is None:
+            first = i
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{i - 1:08x}")
+            first = None
+    for r in added.split():
+        low, _, high = r.partition("-")
+        out.append(f"\\U{int(low, 16):08x}-\\U{int(high or low, 16):08x}")
+    return "".join(out)
+
+
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -56,7 +90,9 @@ class BpeTokenizer:
         self.lower = any(s["type"] == "Lowercase" for s in steps)
         self.form = next((s["type"] for s in steps if s["type"] in ("NFC", "NFKC", "NFD", "NFKD")), None)
         pre = spec["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(next(p["pattern"]["Regex"] for p in pre if p["type"] == "Split"))
+        pattern = next(p["pattern"]["Regex"] for p in pre if p["type"] == "Split")
+        pattern = pattern.replace(r"\s", _WHITE)  # it stands in a class; Python's \s has four separators more
+        self.split = re.compile(pattern.replace(r"\p{L}", _ranges("L", _NEW_LETTERS)).replace(r"\p{N}", _ranges("N", _NEW_NUMBERS)))
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.cache: dict[str, tuple[int, str, str]] = {}
 
@@ -116,9 +152,9 @@ class BpeTokenizer:
         if self.form:
             text = unicodedata.normalize(self.form, text)
         if self.lower:
-            text = text.replace("Σ", "σ").lower()  # each character alone, so no final sigma
+            text = (text.translate(_LOWER) if _ODD_CAPITALS.search(text) else text).lower()
         # str.split also splits at four separators that aren't white space to the pattern
-        chunks = text.split() if not re.search("[\x1c-\x1f]", text) else regex.split(r"\p{White_Space}+", text)
+        chunks = text.split() if not _SEPARATORS.search(text) else re.split(f"[{_WHITE}]+", text)
         cache = self.cache
         for chunk in chunks:
             if chunk:

@@ -36,8 +36,10 @@ BLOCK = 256
 LETTERS = 60
 UNKNOWN = "und"
 #: Estimates above this many bits a letter are no known language's: texts in its letters stay far below.
-MAX_BITS = 7.5
-_MISS = np.int32(1 << 30)
+MAX_BITS = 10.0
+#: Above the state: how many phrases end with a step, up to 2.
+_ENDS = 29
+_MISS = np.int32(1 << _ENDS)
 _PAD, _SPACE, _OTHER = 0, 1, 2
 _SLICE_BYTES = 4 << 20
 
@@ -102,7 +104,7 @@ def folded(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """langs in order; step[state * width + code] holds the next state, with _MISS where a phrase ends."""
+    """langs in order; step[state * width + code] holds the next state, with a multiple of _MISS where phrases end."""
 
     langs: list[str]
     codes: np.ndarray
@@ -132,8 +134,11 @@ class Model:
             for state, edges in enumerate(to):
                 for c, nxt in edges.items():
                     table[state, c] = nxt + base
-            again = np.where(table[0] >= 0, table[0], base)  # a new phrase starts with the letter that didn't fit
-            table = np.where(table >= 0, table, again | int(_MISS))
+            # a new phrase starts with the letter that didn't fit, or is that letter alone
+            again = np.where(table[0] >= 0, table[0] | int(_MISS), base | 2 * int(_MISS))
+            alone = np.where(table[0] >= 0, table[0], base | int(_MISS))
+            table = np.where(table >= 0, table, again)
+            table[0] = alone
             table[:, _PAD] = base | int(_MISS)
             table[0, _PAD] = base
             steps.append(table.astype(np.int32))
@@ -180,7 +185,7 @@ class Model:
         for j in range(int(size[0])):
             m = int(active[j])
             nxt = self.step[state[:, :m] * width + codes[begin[:m] + j]]
-            count[:, :m] += nxt >> 30
+            count[:, :m] += nxt >> _ENDS
             state[:, :m] = nxt & (_MISS - 1)
         count += state != self.root[:, None]
         for i in range(len(self.langs)):
@@ -202,7 +207,8 @@ class Model:
         second = ordered[1] if len(self.langs) > 1 else letters * self.bits[0]
         with np.errstate(divide="ignore", invalid="ignore"):
             score = np.clip(np.nan_to_num(1 - ordered[0] / second), 0, 1)
-            rate = np.nan_to_num(ordered[0] / letters)
+            # without the last phrase, which the end of the text cuts off
+            rate = np.nan_to_num(np.maximum(0, ordered[0] - self.bits[best]) / letters)
         none = letters == 0
         score[none], rate[none] = 0, 0
         return [UNKNOWN if x else self.langs[b] for x, b in zip(none, best)], score, rate
