@@ -34,6 +34,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD), "")
 
 
+def _let(value: Column, make) -> Column:
+    """make(value), with value computed once however often make names it: the optimizer would write
+    it out in every place, within lambdas too."""
+    return F.transform(F.array(value), make)[0]
+
+
 def _starts(words_: Column, width: int) -> Column:
     return F.when(F.size(words_) >= width, F.sequence(F.lit(0), F.size(words_) - width)).otherwise(F.array().cast("array<int>"))
 
@@ -46,6 +52,10 @@ def shingles(words_: Column, width: int) -> Column:
     return F.transform(_starts(words_, width), lambda i: F.array_join(F.slice(words_, i + 1, width), " "))
 
 
+def _shingles_of(width: int):
+    return lambda words_: shingles(words_, width)
+
+
 def _by_width(words_: Column, width: Column, widest: int, make) -> Column:
     """make(words, width) for a width that differs from row to row."""
     out = make(words_, widest)
@@ -56,9 +66,8 @@ def _by_width(words_: Column, width: Column, widest: int, make) -> Column:
 
 def signatures(items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """item_id, width, size, least_size, h: the bottom-k signature of each item, a row per hash."""
-    cut = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    cut = cut.withColumn("width", F.least(F.size("w"), F.lit(width)))
-    cut = cut.withColumn("h", F.array_sort(F.array_distinct(_by_width(F.col("w"), F.col("width"), width, hashes))))
+    by_item = _let(words(F.col("text")), lambda w: F.struct(F.least(F.size(w), F.lit(width)).alias("width"), F.array_sort(F.array_distinct(_by_width(w, F.least(F.size(w), F.lit(width)), width, hashes))).alias("h")))
+    cut = items.select("item_id", by_item.alias("x")).select("item_id", "x.width", "x.h").where(F.size("h") > 0)
     cut = cut.withColumn("size", F.size("h"))
     lower = F.pow(F.lit(2), F.floor(F.log2(F.col("size")))).cast("int")
     keep = F.floor(F.lit(1 - threshold) * (2 * lower - 1) + F.lit(1e-9)).cast("int") + 1
@@ -81,7 +90,8 @@ def _contained(docs: DataFrame, items: DataFrame, threshold: float, width: int)
             near = probed.join(F.broadcast(part), "h").where(F.col("n") - (w - 1) >= F.col("least_size"))
             near = near.select("doc_id", "text", "item_id").distinct().join(item_words, "item_id")
             mine = F.array_distinct(shingles(F.col("iw"), w))
-            near = near.withColumn("found", F.size(F.array_intersect(mine, shingles(words(F.col("text")), w)))).withColumn("n_shingles", F.size(mine))
+            theirs = _let(words(F.col("text")), _shingles_of(w))
+            near = near.withColumn("found", F.size(F.array_intersect(mine, theirs))).withColumn("n_shingles", F.size(mine))
             near = near.where(F.col("found") >= F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9))
             near = near.select("doc_id", F.xxhash64("text").alias("t1"), "item_id", "n_shingles", F.col("found").alias("n_found"))
             out = near if out is None else out.union(near)
@@ -100,7 +110,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """The rows of docs that hold no item."""
     bad = _contained(docs, items, threshold, width).select(F.col("doc_id").alias("_bad_id"), "t1").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs.text) == F.col("t1")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["t1"]), "left_anti")
 
 
 #: The same rows by counting every shingle.
