@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import free_name, shuffle_partitions, written
 from .components import components
 
 DISTANCE = 3
@@ -218,8 +218,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     a row with a doc_id is in every component of theirs."""
     found = written(near_duplicates(docs).select("doc_id", "component_id"))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(keep, docs.doc_id.eqNullSafe(F.col("_kept_id")), "left_semi")
+    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         rank = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64(*docs.columns))
-        out = out.withColumn("_nth", F.row_number().over(rank)).where("_nth = 1").drop("_nth")
+        nth = free_name("_nth", docs)
+        out = out.withColumn(nth, F.row_number().over(rank)).where(F.col(nth) == 1).drop(nth)
     return out
