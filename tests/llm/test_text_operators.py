@@ -267,3 +267,8 @@ def test_every_letter_is_split_as_by_the_library(library):
         text = " ".join(f"a{chr(i)}! {chr(i)}" for i in range(low, low + 0x400) if not 0xD800 <= i < 0xE000)
         if text:
             assert t.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(low)
+
+
+def test_class_names_of_articles_and_their_heads():
+    source = f"<div class='page-header'><p>{LONG}</p></div><article class='post tag-social category-ad'><div class='entry-header'><h1>Head</h1></div><p>{LONG}</p><div class='ad'>Buy it</div></article>"
+    assert html_text.main_text(source) == f"Head\n{LONG}"

@@ -77,6 +77,8 @@ _BAD_NAMES = frozenset(
 )
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note status".split())
 _MAIN_NAMES = frozenset("article articlebody article-body article-content post-content post-body entry-content main-content story-body content main story entry post".split())
+#: Names beside "header" that mark the head of the article, not of the page.
+_TITLE_NAMES = frozenset("article post entry story content title".split())
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|[^<]++|<",
@@ -115,11 +117,13 @@ def _marks(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[bool, i
     names = [n for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
     if tag not in ("html", "body", "main"):
         for name in names:
+            if tag == "article" and name.lower() not in _BAD_NAMES and not name.lower().startswith("comment"):
+                continue  # themes put topics and tags into its class names
             apart = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()
             parts = _NAME_PARTS.findall(apart)
             if parts and parts[0] not in ("has", "with", "no", "is", "without") and not _BAD_NAMES.isdisjoint(parts):
                 return True, 0
-            if not in_main and "header" in parts:
+            if not in_main and "header" in parts and _TITLE_NAMES.isdisjoint(parts) and tag not in _HEADINGS:
                 return True, 0
     if tag == "article":
         return False, 3
