@@ -156,3 +156,15 @@ def test_command_line(log, capsys):
     assert main(["offsets", log.root, "t", "0"]) == 0 and json.loads(capsys.readouterr().out)["latest"] == 1
     assert main(["verify-store", log.root]) == 0
     assert main(["maintain", log.root, "t", "7"]) == 1
+
+
+def test_fetch_many_shares_one_budget(log):
+    log.create_topic("t", 2)
+    for p in (0, 1):
+        for v in ("a" * 40, "b" * 40):
+            log.append("t", p, rows(v))
+    one = log.root_of("t", 0).segments[0].byte_length
+    counts = lambda got: [type(g).__name__ if isinstance(g, errors.LogError) else (g.records.count(), g.oversized_first_batch) for g in got]
+    asked = [("t", 0, 2), ("t", 0, 1), ("u", 0, 0), ("t", 1, 0)]
+    assert counts(log.fetch_many(asked, 3 * one)) == [(0, False), (1, False), "UnknownTopicOrPartition", (2, False)]
+    assert counts(log.fetch_many(asked, 1)) == [(0, False), (1, True), "UnknownTopicOrPartition", (0, False)]

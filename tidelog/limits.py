@@ -13,6 +13,10 @@ PARTITIONS_PER_TOPIC = 1024
 MEMBERS_PER_GROUP = 1024
 PROTOCOLS_PER_MEMBER = 32
 TIMEOUT_MS = 300_000
+GROUPS = 10_000
+PROTOCOL_BYTES = 1 << 20
+MEMBER_BYTES = 1 << 20
+GROUP_BYTES = 16 << 20
 GROUP_OFFSETS = 10_000
 METADATA_BYTES = 4096
 MAINTENANCE_OBJECTS = 100_000

@@ -98,54 +98,62 @@ class Group:
     members: dict[str, Member] = field(default_factory=dict)
 
     def tick(self, now: int) -> None:
-        for name in sorted(m for m, x in self.members.items() if x.deadline <= now):
-            self._remove(name, now)
-        if self.members and self.state in ("joining", "awaiting") and self.phase_deadline <= now:
-            if self.state == "joining":
-                for name in sorted(m for m, x in self.members.items() if x.joined != self.round):
-                    self._drop(name)
-                self._settle(now)
-            else:
-                self._rebalance(now)
-
-    def _drop(self, name: str) -> None:
-        del self.members[name]
-        if self.leader == name:
-            self.leader = min(self.members, default=None)
+        """What time alone changes: sessions that have ended, and phases that are overdue."""
+        gone = [m for m, x in self.members.items() if x.deadline <= now]
+        if gone:
+            self._drop(gone)
+            if self.state in ("awaiting", "stable"):
+                self._ask_all(now)
+        if self.state == "joining":
+            if self.phase_deadline <= now:
+                self._drop([m for m, x in self.members.items() if x.joined != self.round])
+            self._settle(now)
+        elif self.state == "awaiting" and self.phase_deadline <= now:
+            self._ask_all(now)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            del self.members[name]
         if not self.members:
             self.state, self.generation, self.round, self.leader, self.protocol = "empty", 0, 0, None, None
+        elif self.leader not in self.members:
+            self.leader = min(self.members)
 
-    def _remove(self, name: str, now: int) -> None:
-        self._drop(name)
-        if self.members:
-            self._rebalance(now)
+    def _patience(self, now: int) -> int:
+        return max(now + m.rebalance_ms for m in self.members.values())
 
-    def _rebalance(self, now: int) -> None:
-        self.state, self.round = "joining", self.round + 1
+    def _ask_all(self, now: int) -> None:
+        """A new round, in which every member has to join again."""
+        self.state, self.round, self.protocol = "joining", self.round + 1, None
         for m in self.members.values():
             m.assignment = None
-        self.phase_deadline = max(now + m.rebalance_ms for m in self.members.values())
+        self.phase_deadline = self._patience(now)
 
     def _settle(self, now: int) -> None:
-        if self.state != "joining" or not self.members or any(m.joined != self.round for m in self.members.values()):
+        """A new generation, once everybody has joined."""
+        if self.state != "joining" or any(m.joined != self.round for m in self.members.values()):
             return
-        self.leader = self.leader or min(self.members)
         shared = set.intersection(*(set(m.protocols) for m in self.members.values()))
-        self.protocol = next((p for p in self.members[self.leader].protocols if p in shared), None)
+        self.protocol = next(p for p in self.members[self.leader].protocols if p in shared)
         self.state, self.generation = "awaiting", self.generation + 1
-        self.phase_deadline = max(now + m.rebalance_ms for m in self.members.values())
+        self.phase_deadline = self._patience(now)
+        for m in self.members.values():
+            m.assignment, m.deadline = None, now + m.session_ms
 
-    def join(self, name: str, protocols: tuple, session_ms: int, rebalance_ms: int, now: int) -> None:
+    def join(self, name: str, protocols: tuple, session_ms: int, rebalance_ms: int, now: int, new: bool = False) -> None:
+        """new: the member had no name and gets this one. Others must be members still."""
         self.tick(now)
+        if not new and name not in self.members:
+            raise UnknownMember()
         others = [set(m.protocols) for n, m in self.members.items() if n != name]
-        if not protocols or others and not set.intersection(set(protocols), *others):
+        if not protocols or not set(protocols).intersection(*others):
             raise InconsistentProtocol()
-        known = self.members.get(name)
-        self.members[name] = Member(tuple(protocols), session_ms, rebalance_ms, now + session_ms, known.joined if known else -1)
-        self.leader = self.leader or name
-        if self.state != "joining":
-            self._rebalance(now)
-        self.members[name].joined = self.round
+        if self.state == "empty":
+            self.state, self.round, self.leader = "joining", 1, name
+        elif self.state != "joining":
+            self._ask_all(now)
+        self.members[name] = Member(tuple(protocols), session_ms, rebalance_ms, now + session_ms, self.round)
+        self.phase_deadline = self._patience(now)
         self._settle(now)
 
     def _active(self, name: str, generation: int) -> Member:
@@ -156,18 +164,24 @@ class Group:
         return self.members[name]
 
     def sync(self, name: str, generation: int, assignments: dict[str, bytes] | None, now: int) -> bytes | None:
-        """The member's assignment, or None while the leader's is awaited."""
+        """The member's assignment, or None while the leader's is awaited. Only the leader submits
+        assignments, exactly one for each member, and once for a generation."""
         self.tick(now)
         m = self._active(name, generation)
-        m.deadline = now + m.session_ms
         if self.state == "joining":
             raise RebalanceInProgress()
-        if self.state == "awaiting" and name == self.leader and assignments is not None:
-            if set(assignments) != set(self.members):
-                raise LogError("assignment isn't exact", "INVALID_REQUEST")
-            for n, a in assignments.items():
-                self.members[n].assignment = a
+        if assignments:
+            if name != self.leader or set(assignments) != set(self.members):
+                raise LogError("not the assignments of this group", "INVALID_REQUEST")
+            if self.state == "stable" and any(self.members[n].assignment != x for n, x in assignments.items()):
+                raise LogError("another assignment is in force", "INVALID_REQUEST")
+        if self.state == "awaiting" and name == self.leader:
+            if not assignments:
+                raise LogError("the leader's assignments are missing", "INVALID_REQUEST")
+            for n, x in assignments.items():
+                self.members[n].assignment, self.members[n].deadline = x, now + self.members[n].session_ms
             self.state = "stable"
+        m.deadline = now + m.session_ms
         return m.assignment
 
     def heartbeat(self, name: str, generation: int, now: int) -> None:
@@ -181,7 +195,11 @@ class Group:
         self.tick(now)
         if name not in self.members:
             raise UnknownMember()
-        self._remove(name, now)
+        self._drop([name])
+        if self.state == "joining":
+            self._settle(now)
+        elif self.members:
+            self._ask_all(now)
 
     def may_commit(self, name: str, generation: int, now: int) -> None:
         self.tick(now)
@@ -195,7 +213,8 @@ REPLAYED = "group string, n long, at_ms long, kind string, member string, result
 
 def replay(events: DataFrame) -> DataFrame:
     """events(group, n, at_ms, kind, member, generation, protocols, session_ms, rebalance_ms) in order n,
-    each with its outcome and the group's state after it. kind: join, sync, heartbeat, leave, commit or tick."""
+    each with its outcome and the group's state after it. kind: enter (join without a name, which this
+    one is given), join, sync, heartbeat, leave, commit or tick."""
     names = [c.split()[0] for c in REPLAYED.split(", ")]
 
     def run(batches):
@@ -206,8 +225,8 @@ def replay(events: DataFrame) -> DataFrame:
                 if g is None or e.group != last:
                     last, g = e.group, Group()
                 try:
-                    if e.kind == "join":
-                        g.join(e.member, tuple(e.protocols.split(",")), e.session_ms, e.rebalance_ms, e.at_ms)
+                    if e.kind in ("join", "enter"):
+                        g.join(e.member, tuple(e.protocols.split(",")), e.session_ms, e.rebalance_ms, e.at_ms, e.kind == "enter")
                     elif e.kind == "sync":
                         g.sync(e.member, e.generation, {m: b"" for m in g.members} if e.member == g.leader else None, e.at_ms)
                     elif e.kind == "heartbeat":

@@ -421,9 +421,9 @@ def group_session_expiry(spark, sf_dir):
 
 @query()
 def group_generation_replay(spark, sf_dir):
-    """Every event is a call of its user in group user_id % 8: joins, syncs, heartbeats, leaves and commits."""
+    """Every event is a call of its user in group user_id % 8: entries, joins, syncs, heartbeats, leaves and commits."""
     e = table(spark, sf_dir, "events")
-    kind = "case event_id % 7 when 0 then 'join' when 1 then 'join' when 2 then 'sync' when 3 then 'leave' when 4 then 'commit' else 'heartbeat' end"
+    kind = "case event_id % 7 when 0 then 'enter' when 1 then 'join' when 2 then 'sync' when 3 then 'leave' when 4 then 'commit' else 'heartbeat' end"
     calls = e.selectExpr("concat('g', user_id % 8) as `group`", "unix_millis(cast(ts as timestamp)) as at_ms", "event_id", f"{kind} as kind", "concat('m', user_id % 5) as member", "event_id % 4 as generation", "'range,roundrobin' as protocols", "7200000L as session_ms", "3600000L as rebalance_ms")
     return groups.replay(calls.withColumn("n", F.row_number().over(Window.partitionBy("group").orderBy("at_ms", "event_id")).cast("long")))
 
