@@ -33,7 +33,7 @@ ROTATIONS = 2
 #: Share of a code's bits that may differ; measured recall in the README.
 RADIUS_SHARE = 0.47
 PART = 16
-INDEX_BLOCK = 8192
+INDEX_BLOCK = 16_384
 QUERY_BLOCK = 256
 _ITERATIONS = 30
 
@@ -107,25 +107,24 @@ def _valid(embeddings: DataFrame) -> DataFrame:
 def _packed(rows: DataFrame, blocks: int, shared, most: int) -> DataFrame:
     """Rows of a block together, with their codes, as packed rows of `most` vectors at most."""
 
-    def run(batches):
-        held: dict[int, list] = {}
-
-        def pack(b):
-            ids = np.array([i for i, _ in held[b]], np.int64)
-            x = np.array([v for _, v in held.pop(b)], np.float64)
-            return b, ids.tobytes(), x.tobytes(), encode(x, *shared.value).tobytes()
-
-        def batch_of(rows):
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "vectors", "codes"])
+    def packed(b, held):
+        x = np.array([v for _, v in held], np.float64)
+        row = (b, np.array([i for i, _ in held], np.int64).tobytes(), x.tobytes(), encode(x, *shared.value).tobytes())
+        cols = [pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "vectors", "codes"])
 
+    def run(batches):
+        held: list[tuple] = []
+        last = None
         for batch in batches:
             for b, i, v in zip(*(batch.column(c).to_pylist() for c in ("block", "vec_id", "embedding"))):
-                held.setdefault(b, []).append((i, v))
-                if len(held[b]) == most:
-                    yield batch_of([pack(b)])
-        for b in sorted(held):
-            yield batch_of([pack(b)])
+                if held and (b != last or len(held) == most):
+                    yield packed(last, held)
+                    held = []
+                last = b
+                held.append((i, v))
+        if held:
+            yield packed(last, held)
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     return dealt.repartition(blocks, "block").sortWithinPartitions("block").select("block", "vec_id", "embedding").mapInArrow(run, _PACKED)
