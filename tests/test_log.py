@@ -168,3 +168,23 @@ def test_fetch_many_shares_one_budget(log):
     asked = [("t", 0, 2), ("t", 0, 1), ("u", 0, 0), ("t", 1, 0)]
     assert counts(log.fetch_many(asked, 3 * one)) == [(0, False), (1, False), "UnknownTopicOrPartition", (2, False)]
     assert counts(log.fetch_many(asked, 1)) == [(0, False), (1, True), "UnknownTopicOrPartition", (0, False)]
+
+
+def test_batch_files_in_and_out(log, tmp_path):
+    from tidelog.functions.codec import decode_batches, encode_batch
+    from tidelog.sources.importer import export_batch, import_batches
+
+    folder = tmp_path / "files"
+    folder.mkdir()
+    made = [{"timestamp_ms": i, "key": None if i % 2 else b"k", "value": f"v{i}".encode(), "headers": [("h", b"x")] if i == 2 else []} for i in range(5)]
+    (folder / "b").write_bytes(encode_batch(made[3:], 13))
+    (folder / "a").write_bytes(encode_batch(made[:2], 10) + encode_batch(made[2:3], 12))
+    log.create_topic("t")
+    assert [r.last_offset for r in import_batches(log, "t", 0, str(folder))] == [4]
+    assert values(log.fetch("t", 0, 0)) == [f"v{i}" for i in range(5)]
+    got = decode_batches(export_batch(log, "t", 0, 1))
+    assert [{k: g[k] for k in made[0]} for g in got] == made[1:] and got[0]["offset"] == 1 and export_batch(log, "t", 0, 5) == b""
+    (folder / "c").write_bytes(b"junk")
+    with pytest.raises(errors.LogError) as e:
+        import_batches(log, "t", 0, str(folder))
+    assert e.value.code == "CORRUPT_MESSAGE" and log.offsets("t", 0) == (0, 5)
