@@ -483,3 +483,101 @@ def daily_event_windows(spark, sf_dir):
     w = F.window(F.col("ts"), "1 day")
     out = table(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
     return out.select(F.col("w.start").alias("day"), "event_type", "n", "users")
+
+
+@query("""WITH s AS (SELECT user_id AS producer_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS nth, event_id FROM events),
+sent AS (SELECT producer_id, (2147483640 + nth) % 2147483648 AS sequence, nth FROM s WHERE event_id % 50 <> 7),
+p AS (SELECT *, (lag(sequence) OVER (PARTITION BY producer_id ORDER BY nth) + 1) % 2147483648 AS expected FROM sent)
+SELECT producer_id, sequence, expected FROM p WHERE expected <> sequence""")
+def producer_sequence_gaps(spark, sf_dir):
+    """Where a producer's sequence, close to its wrap, doesn't follow the one before."""
+    e = table(spark, sf_dir, "events")
+    mine = Window.partitionBy("producer_id").orderBy("nth")
+    s = e.select(F.col("user_id").alias("producer_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("nth"), "event_id").where("event_id % 50 <> 7")
+    s = s.withColumn("sequence", S.next_sequence(F.lit(2147483640), F.col("nth")))
+    return s.withColumn("expected", S.next_sequence(F.lag("sequence").over(mine), F.lit(1))).where("expected <> sequence").select("producer_id", "sequence", "expected")
+
+
+@query(f"""WITH {_ARRIVALS}, st AS (SELECT producer_id, max(sequence) AS last_sequence, count(*) AS batches FROM verdicts WHERE verdict = 'APPENDED' GROUP BY 1),
+ask AS (SELECT unnest(range(0, 300, 3)) AS producer_id)
+SELECT ask.producer_id, coalesce(last_sequence, -1) AS last_sequence, coalesce(batches, 0) AS batches FROM ask LEFT JOIN st ON ask.producer_id = st.producer_id""")
+def producer_lookup(spark, sf_dir):
+    accepted = producers.fold(_arrivals(spark, sf_dir)).where("verdict = 'APPENDED'")
+    state = accepted.groupBy("producer_id").agg(F.max("sequence").alias("last_sequence"), F.count("*").alias("batches"))
+    asked = spark.range(0, 300, 3).withColumnRenamed("id", "producer_id")
+    none = F.lit(-1).cast("long")
+    return asked.join(state, "producer_id", "left").select("producer_id", F.coalesce("last_sequence", none).alias("last_sequence"), F.coalesce("batches", F.lit(0).cast("long")).alias("batches"))
+
+
+_CODES = {"APPENDED": 0, "DUPLICATE": 0, "OUT_OF_ORDER_SEQUENCE_NUMBER": 45, "INVALID_PRODUCER_EPOCH": 47, "CONFLICTING_SEQUENCE": 87}
+
+
+@query(f"WITH {_ARRIVALS} SELECT CASE verdict WHEN 'OUT_OF_ORDER_SEQUENCE_NUMBER' THEN 45 ELSE 0 END AS code, count(*) AS n FROM verdicts GROUP BY 1")
+def error_codes(spark, sf_dir):
+    """Verdicts as numeric codes of the public protocol."""
+    mapped = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    return producers.fold(_arrivals(spark, sf_dir)).groupBy(F.element_at(mapped, F.col("verdict")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT CAST(s_nationkey AS VARCHAR) AS "group", s_suppkey AS member, 1000 + s_suppkey % 7 * 100 AS rebalance_ms, octet_length(encode(s_name)) AS bytes FROM supplier),
+f AS (SELECT *, min(member) OVER (PARTITION BY "group") AS leader FROM m)
+SELECT "group", count(*) AS members, max(5000 + rebalance_ms) AS phase_deadline, CAST(sum(bytes) AS BIGINT) AS protocol_bytes, min(member) FILTER (member <> leader) AS next_leader FROM f GROUP BY "group" """)
+def group_phase(spark, sf_dir):
+    """Per group: when its phase is overdue, how much its protocols take, and who leads if the leader goes."""
+    m = table(spark, sf_dir, "supplier").selectExpr("cast(s_nationkey as string) as `group`", "s_suppkey as member", "1000 + s_suppkey % 7 * 100 as rebalance_ms", "octet_length(s_name) as bytes")
+    m = m.withColumn("leader", F.min("member").over(Window.partitionBy("group")))
+    return m.groupBy("group").agg(F.count("*").alias("members"), F.max(F.col("rebalance_ms") + 5000).alias("phase_deadline"), F.sum("bytes").alias("protocol_bytes"), F.min(F.when(F.col("member") != F.col("leader"), F.col("member"))).alias("next_leader"))
+
+
+@query(f"""WITH {SEG}, x AS ({_retention_oracle(_OLD, _LARGE)}), kept AS (SELECT concat('s-', seg.part, '-', seg.seg) AS object FROM seg JOIN x ON seg.part = x.part WHERE base_offset >= new_start),
+planned AS (SELECT object FROM kept UNION SELECT concat('p-', user_id % 16) FROM events)
+SELECT object FROM (SELECT concat('s-', part, '-', seg) AS object FROM seg UNION ALL SELECT concat('p-', user_id % 20) FROM events) EXCEPT SELECT object FROM planned""".replace(f"WITH {SEG}, m AS", "WITH m AS"))
+def gc_removable(spark, sf_dir):
+    """The inventory except what stays live after retention: kept segments and producer pages."""
+    s = seg(spark, sf_dir)
+    starts = retention.report(retention.expired(s, _now(), AGE_S, KEEP_BYTES)).select("part", "new_start")
+    name = F.concat(F.lit("s-"), F.col("part").cast("string"), F.lit("-"), F.col("seg").cast("string")).alias("object")
+    kept = s.join(starts, "part").where("base_offset >= new_start").select(name)
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    pages = lambda n: users.selectExpr(f"concat('p-', user_id % {n}) as object").distinct()
+    return s.select(name).union(pages(20)).subtract(kept.union(pages(16)).distinct())
+
+
+@query(f"""WITH {_MEMBERS}, n AS (SELECT "group", count(DISTINCT member) AS members FROM o GROUP BY 1)
+SELECT o."group", protocol FROM o JOIN n ON o."group" = n."group" GROUP BY o."group", protocol, members HAVING count(DISTINCT member) = members""")
+def group_shared_protocols(spark, sf_dir):
+    """Protocols of some member without those that another one lacks."""
+    m = _members(spark, sf_dir)
+    offered = m.select("group", "protocol").distinct()
+    people = m.select("group", "member").distinct()
+    lacking = people.join(offered, "group").join(m.select("group", "member", "protocol"), ["group", "member", "protocol"], "left_anti").select("group", "protocol")
+    return offered.exceptAll(lacking.distinct())
+
+
+@query("""WITH r AS (SELECT o_custkey AS request, o_orderpriority AS topic, o_orderkey % 6 AS partition, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders),
+t AS (SELECT request, topic, min(pos) AS first_pos, string_agg(CAST(partition AS VARCHAR), ',' ORDER BY pos) AS partitions FROM r WHERE partition <> 5 GROUP BY 1, 2)
+SELECT request, string_agg(concat(topic, ':', partitions), ';' ORDER BY first_pos) AS answer FROM t GROUP BY request""")
+def request_regroup(spark, sf_dir):
+    """Requests flattened to partitions, filtered, and put together again in the order of the request."""
+    mine = Window.partitionBy("request").orderBy("o_orderkey")
+    flat = table(spark, sf_dir, "orders").selectExpr("o_custkey as request", "o_orderpriority as topic", "o_orderkey % 6 as partition", "o_orderkey").withColumn("pos", F.row_number().over(mine)).where("partition <> 5")
+    join = lambda pairs, f, sep: F.array_join(F.transform(F.sort_array(pairs), f), sep)
+    topics = flat.groupBy("request", "topic").agg(F.min("pos").alias("first"), join(F.collect_list(F.struct("pos", "partition")), lambda x: x.partition.cast("string"), ",").alias("parts"))
+    return topics.groupBy("request").agg(join(F.collect_list(F.struct("first", "topic", "parts")), lambda x: F.concat(x.topic, F.lit(":"), x.parts), ";").alias("answer"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN acks < -1 OR acks > 1 THEN 'INVALID_REQUIRED_ACKS' WHEN idempotent AND acks <> -1 THEN 'INVALID_REQUIRED_ACKS' WHEN acks = 0 THEN 'NO_RESPONSE' ELSE 'NONE' END AS verdict
+FROM (SELECT o_orderkey, o_orderkey % 5 - 2 AS acks, o_custkey % 2 = 0 AS idempotent FROM orders)""")
+def request_acks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 5 - 2 as acks", "o_custkey % 2 = 0 as idempotent")
+    bad = ~F.col("acks").between(-1, 1) | F.col("idempotent") & (F.col("acks") != -1)
+    return o.select("o_orderkey", F.when(bad, "INVALID_REQUIRED_ACKS").when(F.col("acks") == 0, "NO_RESPONSE").otherwise("NONE").alias("verdict"))
+
+
+@query(f"""WITH {REC}, b AS (SELECT part, off // 50 AS seg, event_id, CASE WHEN event_id % 211 = 0 THEN -2 WHEN event_id % 307 = 1 THEN 5 ELSE -1 END AS producer_id, CASE WHEN event_id % 307 = 1 THEN 0 ELSE -1 END AS epoch FROM rec)
+SELECT part, seg, count(*) AS n, bool_and(producer_id >= -1 AND (producer_id >= 0) = (epoch >= 0)) AND count(DISTINCT producer_id) = 1 AS valid FROM b GROUP BY part, seg""")
+def batch_semantics(spark, sf_dir):
+    """Batches whose records agree on one producer, with ids and epochs given together or not at all."""
+    r = rec(spark, sf_dir).selectExpr("part", "off div 50 as seg", "case when event_id % 211 = 0 then -2 when event_id % 307 = 1 then 5 else -1 end as producer_id", "case when event_id % 307 = 1 then 0 else -1 end as epoch")
+    fit = F.bool_and((F.col("producer_id") >= -1) & ((F.col("producer_id") >= 0) == (F.col("epoch") >= 0))) & (F.min("producer_id") == F.max("producer_id"))
+    return r.groupBy("part", "seg").agg(F.count("*").alias("n"), fit.alias("valid"))
