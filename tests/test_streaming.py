@@ -1,10 +1,13 @@
+import time
+
 from pyspark.sql import functions as F
 
+from tidelog.operators.groups import Group, replay
 from tidelog.operators.producers import fold
 from tidelog.sources.log import EventLog
 from tidelog.sources.stream import TidelogSource
 from tidelog.streaming.sink import LogSink
-from tidelog.streaming.stateful import STATE_STORE, dedup_stream, windowed_counts
+from tidelog.streaming.stateful import STATE_STORE, dedup_stream, group_from_json, group_stream, group_to_json, windowed_counts
 
 
 def test_sink_is_exactly_once(spark, tmp_path):
@@ -62,3 +65,32 @@ def test_windows_leave_late_data_out(spark, tmp_path):
     q = windowed_counts(spark.readStream.schema("ts timestamp_ntz, event_type string").parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("tidelog_windows").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.event_type, r.n) for r in spark.table("tidelog_windows").collect()] == [("a", 2)]
+
+
+def test_group_state_survives_storing():
+    g = Group()
+    g.join("a", ("x", "y"), 5, 6, 1, new=True)
+    g.sync("a", 1, {"a": b"\x00\xff"}, 2)
+    assert group_from_json(group_to_json(g)) == g
+
+
+def test_group_stream_equals_replay_and_ends_sessions(spark, tmp_path):
+    spark.conf.set(*STATE_STORE)
+    now = int(time.time() * 1000)
+    kinds = [("enter", "a", 0), ("sync", "a", 1), ("heartbeat", "a", 1), ("enter", "b", 0), ("join", "a", 0), ("sync", "a", 2), ("commit", "b", 2)]
+    ddl = "group string, n long, at_ms long, kind string, member string, generation long, protocols string, session_ms long, rebalance_ms long"
+    df = spark.createDataFrame([("g", i, now + i, k, m, g, "range", 3000, 3000) for i, (k, m, g) in enumerate(kinds)], ddl)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = group_stream(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("tidelog_groups").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            got = spark.table("tidelog_groups").collect()
+            if any(r.kind == "tick" and r.state == "empty" for r in got):
+                break
+    finally:
+        q.stop()
+    calls = sorted((tuple(r) for r in got if r.n >= 0), key=lambda r: r[1])
+    assert calls == sorted((tuple(r) for r in replay(df).collect()), key=lambda r: r[1])
+    assert any(r.kind == "tick" and r.state == "empty" for r in got)

@@ -211,12 +211,34 @@ class Group:
 REPLAYED = "group string, n long, at_ms long, kind string, member string, result string, state string, generation long, members long, leader string"
 
 
+REPLAYED_NAMES = [c.split()[0] for c in REPLAYED.split(", ")]
+
+
+def step(g: Group, e) -> tuple:
+    """One call, as a row of `replay`'s input, and its REPLAYED row."""
+    try:
+        if e.kind in ("join", "enter"):
+            g.join(e.member, tuple(e.protocols.split(",")), e.session_ms, e.rebalance_ms, e.at_ms, e.kind == "enter")
+        elif e.kind == "sync":
+            g.sync(e.member, e.generation, {m: b"" for m in g.members} if e.member == g.leader else None, e.at_ms)
+        elif e.kind == "heartbeat":
+            g.heartbeat(e.member, e.generation, e.at_ms)
+        elif e.kind == "leave":
+            g.leave(e.member, e.at_ms)
+        elif e.kind == "commit":
+            g.may_commit(e.member, e.generation, e.at_ms)
+        else:
+            g.tick(e.at_ms)
+        result = "NONE"
+    except LogError as error:
+        result = error.code
+    return e.group, e.n, e.at_ms, e.kind, e.member, result, g.state, g.generation, len(g.members), g.leader
+
+
 def replay(events: DataFrame) -> DataFrame:
     """events(group, n, at_ms, kind, member, generation, protocols, session_ms, rebalance_ms) in order n,
     each with its outcome and the group's state after it. kind: enter (join without a name, which this
     one is given), join, sync, heartbeat, leave, commit or tick."""
-    names = [c.split()[0] for c in REPLAYED.split(", ")]
-
     def run(batches):
         last, g = None, None
         for pdf in batches:
@@ -224,24 +246,8 @@ def replay(events: DataFrame) -> DataFrame:
             for e in pdf.itertuples(index=False):
                 if g is None or e.group != last:
                     last, g = e.group, Group()
-                try:
-                    if e.kind in ("join", "enter"):
-                        g.join(e.member, tuple(e.protocols.split(",")), e.session_ms, e.rebalance_ms, e.at_ms, e.kind == "enter")
-                    elif e.kind == "sync":
-                        g.sync(e.member, e.generation, {m: b"" for m in g.members} if e.member == g.leader else None, e.at_ms)
-                    elif e.kind == "heartbeat":
-                        g.heartbeat(e.member, e.generation, e.at_ms)
-                    elif e.kind == "leave":
-                        g.leave(e.member, e.at_ms)
-                    elif e.kind == "commit":
-                        g.may_commit(e.member, e.generation, e.at_ms)
-                    else:
-                        g.tick(e.at_ms)
-                    result = "NONE"
-                except LogError as error:
-                    result = error.code
-                rows.append((e.group, e.n, e.at_ms, e.kind, e.member, result, g.state, g.generation, len(g.members), g.leader))
-            yield pd.DataFrame(rows, columns=names)
+                rows.append(step(g, e))
+            yield pd.DataFrame(rows, columns=REPLAYED_NAMES)
 
     cols = ["group", "n", "at_ms", "kind", "member", "generation", "protocols", "session_ms", "rebalance_ms"]
     return events.select(*cols).repartition("group").sortWithinPartitions("group", "n").mapInPandas(run, REPLAYED)

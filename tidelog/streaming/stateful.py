@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.groups import REPLAYED, REPLAYED_NAMES, Group, Member, step
 from ..operators.producers import FOLDED, ProducerState
 
 #: Needed by transformWithState.
@@ -41,6 +44,55 @@ def dedup_stream(arrivals: DataFrame) -> DataFrame:
     return arrivals.groupBy("producer_id").transformWithStateInPandas(_Producers(), outputStructType=FOLDED, outputMode="Append", timeMode="None")
 
 
+def group_to_json(g: Group) -> str:
+    return json.dumps(asdict(g), default=lambda b: {"hex": b.hex()})
+
+
+def group_from_json(text: str) -> Group:
+    x = json.loads(text, object_hook=lambda d: bytes.fromhex(d["hex"]) if d.keys() == {"hex"} else d)
+    members = {n: Member(**(m | {"protocols": tuple(m["protocols"])})) for n, m in x.pop("members").items()}
+    return Group(**x, members=members)
+
+
+class _Groups(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("group", "state string")
+
+    def _load(self) -> Group:
+        return group_from_json(self.state.get()[0]) if self.state.exists() else Group()
+
+    def _keep(self, g: Group) -> None:
+        """Stores the group and wakes up when its next session or phase ends."""
+        self.state.update((group_to_json(g),))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if g.members:
+            phase = [g.phase_deadline] if g.state in ("joining", "awaiting") else []
+            self.handle.registerTimer(min([m.deadline for m in g.members.values()] + phase))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        g = self._load()
+        found = pd.concat(list(rows)).sort_values("n", kind="stable")
+        out = [step(g, e) for e in found.itertuples(index=False)]
+        self._keep(g)
+        yield pd.DataFrame(out, columns=REPLAYED_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        g, now = self._load(), timerValues.getCurrentProcessingTimeInMs()
+        g.tick(now)
+        self._keep(g)
+        yield pd.DataFrame([(key[0], -1, now, "tick", None, "NONE", g.state, g.generation, len(g.members), g.leader)], columns=REPLAYED_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def group_stream(calls: DataFrame) -> DataFrame:
+    """groups.replay for a stream of calls, with timers for sessions and phases that end without one.
+    Calls carry wall-clock milliseconds, as the timers do."""
+    return calls.groupBy("group").transformWithStateInPandas(_Groups(), outputStructType=REPLAYED, outputMode="Append", timeMode="ProcessingTime")
+
+
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts per window and event type; events later than the watermark are left out."""
     stamped = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
