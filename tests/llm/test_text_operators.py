@@ -47,8 +47,8 @@ _cached: dict = {}
 def test_both_merges_agree():
     t = bpe.tokenizer(PATH)
     for word in ("internationalization", "thththethan", "aaaaaaa", "banana" * 10):
-        parts = [t.alphabet[b] for b in word.encode()]
-        parts[-1] += t.suffix
+        data = word.encode()
+        parts = [*(t.byte_ids[b] for b in data[:-1]), t.last_ids[data[-1]]]
         assert t.merge(list(parts)) == t._merge_long(list(parts))
 
 
