@@ -86,6 +86,17 @@ def test_phrases_equal_brute_force():
             assert counts[j, i] == _phrases(t, samples[lang][0])
 
 
+def test_long_texts_are_parsed_in_pieces(monkeypatch):
+    import numpy as np
+
+    m = langid.Model.fit({"x": ["le château est très élevé et le roi est à la fenêtre"], "y": ["the king is at the window"]})
+    data = np.frombuffer(("très élevé à la fenêtre the king " * 40).encode(), np.uint8)
+    counts, letters = m.phrases(data, np.array([0, len(data)]))
+    monkeypatch.setattr(langid, "_SLICE_BYTES", 101)
+    more, same = m.phrases(data, np.array([0, len(data)]))
+    assert same == letters and (more >= counts).all() and (more <= counts + 2 * (len(data) // 101 + 1)).all()
+
+
 def test_language_rows(spark):
     en = "the house and the garden of the king were in the middle of the town and all the people of the town came to see them "
     fr = "la maison et le jardin du roi sont au milieu de la ville et tous les gens de la ville sont venus pour les voir "

@@ -41,7 +41,9 @@ MAX_BITS = 10.0
 _ENDS = 29
 _MISS = np.int32(1 << _ENDS)
 _PAD, _SPACE, _OTHER = 0, 1, 2
-_SLICE_BYTES = 4 << 20
+#: Text that is parsed at a time in a worker: some 20 times as much memory. Longer texts are parsed in
+#: pieces of that size, cut between characters, whose phrases and letters are added up.
+_SLICE_BYTES = 2 << 20
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -150,6 +152,15 @@ class Model:
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text under each language, and letters of each text."""
+        if len(offsets) == 2 and len(data) > _SLICE_BYTES:
+            cuts = np.arange(0, len(data), _SLICE_BYTES)
+            while (inside := (data[cuts] & 0xC0) == 0x80).any():
+                cuts = cuts - inside
+            found = [self._phrases(data[s:e], np.array([0, e - s])) for s, e in zip(cuts, [*cuts[1:], len(data)])]
+            return sum(c for c, _ in found), sum(n for _, n in found)
+        return self._phrases(data, offsets)
+
+    def _phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         points = code_points(data.tobytes())
         # where texts begin among the code points: bytes that don't continue one
