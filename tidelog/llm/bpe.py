@@ -19,13 +19,18 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Words of more parts than this use the heap.
 SCAN_LIMIT = 256
 #: Distinct words whose ids are kept in a worker; the table starts anew when it's full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Text that is encoded at a time in a worker: ids take ten times as much memory as their text.
+_SLICE_BYTES = 1 << 20
 _FAR = 1 << 60
 
 # The vocabulary's library splits by Unicode 16.0 and lowers letters by 17.0; Python knows 15.1.
@@ -190,7 +195,7 @@ def tokenizer(path: str) -> BpeTokenizer:
 
 
 def _full(n: int, ids: str, decoded: str) -> tuple:
-    return n, [int(i) for i in ids.split()], decoded
+    return n, np.fromstring(ids, np.int32, sep=" "), decoded
 
 
 def _digest(n: int, ids: str, decoded: str) -> tuple:
@@ -199,7 +204,7 @@ def _digest(n: int, ids: str, decoded: str) -> tuple:
 
 
 def _ids(n: int, ids: str, decoded: str) -> tuple:
-    return n, [int(i) for i in ids.split()], hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+    return n, np.fromstring(ids, np.int32, sep=" "), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
 
 IDS = (_ids, "n_tokens long, ids array<int>, decoded_sha256 string", [pa.int64(), pa.list_(pa.int32()), pa.string()])
@@ -215,10 +220,11 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def run(batches):
         t = tokenizer(path)
-        for batch in batches:
-            rows = [finish(*t.joined(x)) for x in batch.column(1).to_pylist()]
-            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[key, *names])
+        for whole in batches:
+            for batch in slices(whole, text, _SLICE_BYTES):
+                rows = [finish(*t.joined(x)) for x in batch.column(1).to_pylist()]
+                cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {ddl}")
