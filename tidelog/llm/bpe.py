@@ -17,7 +17,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,9 @@ from .common import slices
 
 #: Words of more parts than this use the heap.
 SCAN_LIMIT = 256
-#: Distinct words whose ids are kept in a worker; the table starts anew when it's full.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids are kept in a worker, twice: a full table is kept until the next is full,
+#: and words that are met again move on from it.
+CACHE_WORDS = 120_000
 #: Text that is encoded at a time in a worker: ids take ten times as much memory as their text.
 _SLICE_BYTES = 1 << 20
 _FAR = 1 << 60
@@ -65,7 +66,6 @@ def _ranges(category: str, added: str) -> str:
 
 
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_alphabet() -> list[str]:
@@ -89,7 +89,9 @@ class BpeTokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(a, b): r for r, (a, b) in enumerate(merges)}
+        #: The rank of a pair of ids, as one number, and the id that a rank's merge makes.
+        self.ranks = {self.vocab[x] << 32 | self.vocab[y]: r for r, (x, y) in enumerate(merges)}
+        self.made = [self.vocab[x + y] for x, y in merges]
         self.alphabet = byte_alphabet()
         steps = [spec["normalizer"]] if "normalizers" not in spec["normalizer"] else spec["normalizer"]["normalizers"]
         self.lower = any(s["type"] == "Lowercase" for s in steps)
@@ -99,71 +101,79 @@ class BpeTokenizer:
         pattern = pattern.replace(r"\s", _WHITE)  # it stands in a class; Python's \s has four separators more
         self.split = re.compile(pattern.replace(r"\p{L}", _ranges("L", _NEW_LETTERS)).replace(r"\p{N}", _ranges("N", _NEW_NUMBERS)))
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.byte_ids = [self.vocab[c] for c in self.alphabet]
+        self.last_ids = [self.vocab[c + self.suffix] for c in self.alphabet]
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.former: dict[str, tuple[int, str, str]] = {}
 
-    def merge(self, parts: list[str]) -> list[str]:
-        """The parts of a word after all merges, lowest rank first, leftmost of equal ranks."""
+    def merge(self, parts: list[int]) -> list[int]:
+        """The ids of a word after all merges, lowest rank first, leftmost of equal ranks."""
         if len(parts) > SCAN_LIMIT:
             return self._merge_long(parts)
-        get = self.ranks.get
-        ranks = [get(p, _FAR) for p in zip(parts, parts[1:])]
+        get, made = self.ranks.get, self.made
+        ranks = [get(x << 32 | y, _FAR) for x, y in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == _FAR:
                 break
             i = ranks.index(least)
-            parts[i] += parts.pop(i + 1)
-            ranks.pop(i)
+            parts[i] = new = made[least]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((parts[i - 1], parts[i]), _FAR)
+                ranks[i - 1] = get(parts[i - 1] << 32 | new, _FAR)
             if i < len(ranks):
-                ranks[i] = get((parts[i], parts[i + 1]), _FAR)
+                ranks[i] = get(new << 32 | parts[i + 1], _FAR)
         return parts
 
-    def _merge_long(self, parts: list[str]) -> list[str]:
+    def _merge_long(self, parts: list[int]) -> list[int]:
         n, get = len(parts), self.ranks.get
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << 32 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = right[i]
             if not alive[i] or j >= n or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], alive[j] = a + b, False
+            parts[i], alive[j] = self.made[rank], False
             right[i] = right[j]
             if right[j] < n:
                 left[right[j]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (r := get((parts[x], parts[y]))) is not None:
+                if x >= 0 and y < n and (r := get(parts[x] << 32 | parts[y])) is not None:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p, ok in zip(parts, alive) if ok]
 
     def word(self, word: str) -> list[int]:
-        parts = [self.alphabet[b] for b in word.encode("utf-8")]
-        parts[-1] += self.suffix
-        return [self.vocab[p] for p in self.merge(parts)]
+        data = word.encode("utf-8")
+        return self.merge([*(self.byte_ids[b] for b in data[:-1]), self.last_ids[data[-1]]])
 
     def _entry(self, chunk: str) -> tuple[int, str, str]:
         """For a run without white space: count of ids, the ids and the tokens joined by a space."""
-        ids = [i for w in self.split.findall(chunk) for i in self.word(w)]
+        out = self.former.get(chunk)
+        if out is None:
+            words = (chunk,) if chunk.isalpha() else self.split.findall(chunk)
+            if len(words) == 1 and words[0] == chunk:
+                ids, tokens = self.word(chunk), self.tokens
+                out = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
+            else:
+                parts = [self.cache.get(w) or self._entry(w) for w in words]
+                out = (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
         if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        out = self.cache[chunk] = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
+            self.former, self.cache = self.cache, {}
+        self.cache[chunk] = out
         return out
 
-    def _chunks(self, text: str) -> Iterator[tuple[int, str, str]]:
+    def _found(self, text: str) -> list[tuple[int, str, str]]:
         if self.form:
             text = unicodedata.normalize(self.form, text)
         if self.lower:
-            text = (text.translate(_LOWER) if _ODD_CAPITALS.search(text) else text).lower()
+            text = (text if text.isascii() or not _ODD_CAPITALS.search(text) else text.translate(_LOWER)).lower()
         # str.split also splits at four separators that aren't white space to the pattern
-        chunks = text.split() if not _SEPARATORS.search(text) else re.split(f"[{_WHITE}]+", text)
-        cache = self.cache
-        for chunk in chunks:
-            if chunk:
-                yield cache.get(chunk) or self._entry(chunk)
+        chunks = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else filter(None, re.split(f"[{_WHITE}]+", text))
+        entry = self._entry
+        return [self.cache.get(chunk) or entry(chunk) for chunk in chunks]
 
     def joined(self, text: str | None) -> tuple[int, str, str]:
         """Of a whole text: the count of ids, the ids joined by a space, and what they decode to."""
@@ -172,9 +182,9 @@ class BpeTokenizer:
             if part in self.special:
                 found.append((1, str(self.special[part]), part))
             elif part:
-                found += self._chunks(part)
+                found += self._found(part)
         found = [x for x in found if x[0]]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.joined(text)[1].split()]
