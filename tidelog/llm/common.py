@@ -16,29 +16,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR
-    return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
-
-
 #: Spark then deletes a query's shuffle files when the query ends, not when the driver collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors. What its
-    computation shuffled is gone afterwards."""
-    spark = df.sparkSession
-    path = folder or shared_folder(spark)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        # the setting is read where a query is planned
-        df.select("*").write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Parquet tables in a folder of their own below spark.checkpoint.dir, which driver and executors
+    share. Writing cuts lineage and survives lost executors. Tables go when they are dropped, or
+    else when the session's process ends."""
+
+    def __init__(self, spark: SparkSession):
+        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR
+        self.spark, self.folder = spark, f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self._path(self.folder)[1].deleteOnExit(self._path(self.folder)[0])
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """df as a table. What its computation shuffled is gone afterwards."""
+        path = f"{self.folder}/{len(self.paths)}"
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            # the setting is read where a query is planned
+            df.select("*").write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[len(self.paths)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing still to be computed reads."""
+        for out, name in self.paths.values():
+            if any(out is t for t in tables):
+                path, fs = self._path(name)
+                fs.delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    return Scratch(df.sparkSession).write(df)
 
 
 def free_name(name: str, df: DataFrame) -> str:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 #: Far above the logarithm of any component that fits a cluster.
 MAX_ROUNDS = 60
@@ -32,14 +32,16 @@ def components(edges: DataFrame) -> DataFrame:
     Nulls and loops are ignored. Each round is written to the shared folder, so lineage stays short
     and a lost executor costs one round at most; only a row count and a sum come to the driver.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == before or not mark.n:
             break
         before = mark
-        now = written(_star(_star(now, True), False))
+        last, now = now, scratch.write(_star(_star(now, True), False))
+        scratch.drop(last)
     else:
         raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

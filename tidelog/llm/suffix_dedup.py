@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, utf8_buffer, written
+from .common import Scratch, slices, utf8_buffer
 
 THRESHOLD = 200
 CORE = 32
@@ -249,11 +249,15 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"), text.alias("text"))
 
+    scratch = Scratch(docs.sparkSession)
+
     # round 1: copies of a text are told apart by their rows alone, which are equal
-    rows = written(docs.select("t1", "t2", "text").mapInArrow(_rows_of_anchors, _ROWS))
-    repeated = rows.groupBy("key").count().where("count > 1").select("key")
-    live = written(rows.join(repeated, "key"))
-    spans = live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "count", "distance")).alias("one"))
+    rows = scratch.write(docs.select("t1", "t2", "text").mapInArrow(_rows_of_anchors, _ROWS))
+    # tables of their own: a join that doesn't share its shuffle with an aggregate can split a hot key
+    repeated = scratch.write(rows.groupBy("key").count().where("count > 1").select("key"))
+    live = scratch.write(rows.join(repeated, "key"))
+    scratch.drop(rows, repeated)
+    spans = scratch.write(live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "count", "distance")).alias("one")))
     several = spans.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
     covered = [live.join(spans.where("n > 1").select("key", "span"), ["key", "span"]).select(*_ID, "first", "count")]
     open_rows = spans.join(several, "key").select("one.*", F.least("n", F.lit(2)).alias("weight"))
@@ -265,7 +269,7 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
     blocks = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_blocks, f"{_ROWS}, weight long")
     blocks = blocks.withColumns({"total": F.sum("weight").over(per_key), "low": F.min("span").over(per_key), "high": F.max("span").over(per_key)}).where("total > 1")
     blocks = blocks.withColumns({"alike": F.sum("weight").over(per_span), "nth": F.row_number().over(per_span.orderBy(F.desc("weight"), *_ID, "first"))})
-    blocks = written(blocks.select(*_ID, "first", "count", "weight", "alike", "nth", (F.col("low") != F.col("high")).alias("mixed")))
+    blocks = scratch.write(blocks.select(*_ID, "first", "count", "weight", "alike", "nth", (F.col("low") != F.col("high")).alias("mixed")))
     covered.append(blocks.where("weight = 1 and alike > 1").select(*_ID, "first", "count"))
     open_blocks = blocks.where("mixed and nth = 1").select(*_ID, "first", "count", F.least("alike", F.lit(2)).alias("weight"))
 
@@ -273,9 +277,10 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
     joined = docs.join(_by_text(open_blocks, "first", "count", "weight"), _ID)
     positions = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_positions, "key long, key2 long, t1 long, t2 int, first long, weight long")
     positions = positions.withColumn("total", F.sum("weight").over(Window.partitionBy("key", "key2"))).where("total > 1 and weight = 1")
-    covered.append(written(positions.select(*_ID, "first", F.lit(1).alias("count"))))
+    covered.append(scratch.write(positions.select(*_ID, "first", F.lit(1).alias("count"))))
 
-    found = written(_by_text(covered[0].unionByName(covered[1]).unionByName(covered[2]), "first", "count"))
+    found = scratch.write(_by_text(covered[0].unionByName(covered[1]).unionByName(covered[2]), "first", "count"))
+    scratch.drop(live, spans, blocks, covered[2])
     out = docs.join(found, _ID, "left").select("doc_id", "text", "rows")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return out.mapInArrow(_finish(form), f"doc_id {kind}, {form[1]}")
