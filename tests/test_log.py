@@ -188,3 +188,17 @@ def test_batch_files_in_and_out(log, tmp_path):
     with pytest.raises(errors.LogError) as e:
         import_batches(log, "t", 0, str(folder))
     assert e.value.code == "CORRUPT_MESSAGE" and log.offsets("t", 0) == (0, 5)
+
+
+def test_produce_and_lookups(log):
+    log.create_topic("t")
+    assert [r.last_offset for r in log.produce("t", 0, [Batch(rows("a")), Batch(rows("b"))], acks=1)] == [1]
+    assert log.produce("t", 0, [Batch(rows("c"))], acks=0) is None and log.offsets("t", 0) == (0, 3)
+    p, epoch = log.init_producer()
+    assert (epoch, log.init_producer(producer_id=p, epoch=0)) == (0, (p + 1, 0))
+    got = log.produce("t", 0, [Batch(rows("d"), p, 0, 0), Batch(rows("e"), p, 0, 1)])
+    assert [r.base_offset for r in got] == [3, 4] and len(log.root_of("t", 0).segments) == 4
+    for bad in (lambda: log.produce("t", 0, [Batch(rows("x"), p, 0, 2)], acks=1), lambda: log.produce("t", 0, [Batch(rows("x"))], acks=2), lambda: log.init_producer(producer_id=4), lambda: log.list_offset("t", 0, 1777000000000)):
+        with pytest.raises(errors.InvalidRequest):
+            bad()
+    assert (log.list_offset("t", 0, -2), log.list_offset("t", 0, -1)) == (0, 5)
