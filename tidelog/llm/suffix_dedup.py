@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
     # round 2: a weight of 2 stands for rows that are settled and only serve others to compare with
     per_key = Window.partitionBy("key")
     per_span = Window.partitionBy("key", "span")
-    joined = docs.join(_by_text(open_rows, "first", "count", "distance", "weight"), _ID)
+    joined = docs.join(scratch.write(_by_text(open_rows, "first", "count", "distance", "weight")), _ID)
     blocks = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_blocks, f"{_ROWS}, weight long")
     blocks = blocks.withColumns({"total": F.sum("weight").over(per_key), "low": F.min("span").over(per_key), "high": F.max("span").over(per_key)}).where("total > 1")
     blocks = blocks.withColumns({"alike": F.sum("weight").over(per_span), "nth": F.row_number().over(per_span.orderBy(F.desc("weight"), *_ID, "first"))})
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
     open_blocks = blocks.where("mixed and nth = 1").select(*_ID, "first", "count", F.least("alike", F.lit(2)).alias("weight"))
 
     # round 3
-    joined = docs.join(_by_text(open_blocks, "first", "count", "weight"), _ID)
+    joined = docs.join(scratch.write(_by_text(open_blocks, "first", "count", "weight")), _ID)
     positions = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_positions, "key long, key2 long, t1 long, t2 int, first long, weight long")
     positions = positions.withColumn("total", F.sum("weight").over(Window.partitionBy("key", "key2"))).where("total > 1 and weight = 1")
     covered.append(scratch.write(positions.select(*_ID, "first", F.lit(1).alias("count"))))
