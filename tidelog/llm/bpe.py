@@ -151,7 +151,7 @@ class BpeTokenizer:
 
     def _entry(self, chunk: str) -> tuple[int, str, str]:
         """For a run without white space: count of ids, the ids and the tokens joined by a space."""
-        out = self.former.get(chunk)
+        out = self.cache.get(chunk) or self.former.get(chunk)
         if out is None:
             words = (chunk,) if chunk.isalpha() else self.split.findall(chunk)
             if len(words) == 1 and words[0] == chunk:
@@ -172,8 +172,8 @@ class BpeTokenizer:
             text = (text if text.isascii() or not _ODD_CAPITALS.search(text) else text.translate(_LOWER)).lower()
         # str.split also splits at four separators that aren't white space to the pattern
         chunks = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else filter(None, re.split(f"[{_WHITE}]+", text))
-        entry = self._entry
-        return [self.cache.get(chunk) or entry(chunk) for chunk in chunks]
+        get, entry = self.cache.get, self._entry
+        return [get(chunk) or entry(chunk) for chunk in chunks]
 
     def joined(self, text: str | None) -> tuple[int, str, str]:
         """Of a whole text: the count of ids, the ids joined by a space, and what they decode to."""
@@ -183,8 +183,8 @@ class BpeTokenizer:
                 found.append((1, str(self.special[part]), part))
             elif part:
                 found += self._found(part)
-        found = [x for x in found if x[0]]
-        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        counts, ids, tokens = zip(*found) if found else ((), (), ())
+        return sum(counts), " ".join(ids), " ".join(tokens)
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.joined(text)[1].split()]
