@@ -203,10 +203,13 @@ inventory AS (SELECT object, 100 AS bytes FROM live UNION ALL SELECT {_LOST}, by
 SELECT object, bytes FROM inventory WHERE regexp_matches(object, '{retention.RECOGNISED}') AND object NOT IN (SELECT object FROM live)""")
 def gc_orphans(spark, sf_dir):
     s = seg(spark, sf_dir)
+    # what each segment stands for in the listing, in one pass over them
+    entry = "named_struct('object', {0}, 'bytes', cast({1} as bigint))".format
+    rare = f"if(seg % 10 = 0, array({entry(_LOST, 'byte_length')}), array())"
+    strange = "concat('segments/notes-', part, '.txt')", f"concat('segments/deep/', {_NAME})"
+    first = f"if(seg = 0, array({entry(strange[0], 1)}, {entry(strange[1], 1)}), array())"
+    inventory = s.selectExpr(f"inline(concat(array({entry(_NAME, 100)}), {rare}, {first}))")
     live = s.selectExpr(f"{_NAME} as object")
-    first = s.where("seg = 0")
-    inventory = live.selectExpr("object", "100L as bytes").union(s.where("seg % 10 = 0").selectExpr(_LOST, "byte_length"))
-    inventory = inventory.union(first.selectExpr("concat('segments/notes-', part, '.txt')", "1L")).union(first.selectExpr(f"concat('segments/deep/', {_NAME})", "1L"))
     return retention.orphans(inventory, live)
 
 
