@@ -120,6 +120,21 @@ def test_held_out_rows_teach_nothing(spark):
     assert langid.fit(df).langs == []
 
 
+def test_languages_of_short_rows_are_learnt(spark):
+    en = "the house and the garden of the king were in the middle of the town and all the people came to see them "
+    short = ["le jardin du roi", "la ville est belle", "nous sommes au milieu", "les gens de la ville"]
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, en * 3, "en") for i in learnt[:8]] + [(i, short[i % 4], "fr") for i in learnt[8:24]]
+    rows += [(learnt[24], "?! " * 1000 + "ξένος", "el"), (learnt[25], "12 !?", "xx"), (1000, "les gens du roi", None), (1001, "the people of the town", None), (1002, "ξένος", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.langs == ["el", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert [got[i] for i in (1000, 1001, 1002, *learnt[:24])] == ["fr", "en", "el"] + ["en"] * 8 + ["fr"] * 16
+    only = df.where("lang = 'fr'")
+    assert langid.fit(only).langs == ["fr"] and langid.accepted(only, langid.fit(only)).count() == 16
+
+
 def test_accuracy_on_rows_that_were_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(df, langid.fit(df)).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")

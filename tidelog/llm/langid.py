@@ -12,7 +12,10 @@ adds at most one phrase per block and language. Whole texts are parsed, none is
 
 Defined results: null texts and texts without a letter are UNKNOWN with score 0; ties go to the
 alphabetically first language; repeated rows give repeated rows; without any labelled text every
-row is UNKNOWN. Null ids are predicted like others and are never held out.
+row is UNKNOWN. Null ids are predicted like others and are never held out. Every language that some
+row with a letter is labelled with is learnt, however short its texts; longer rows are taken first.
+A letter that a language's sample lacks costs as much as a phrase of the largest sample, so small
+samples aren't cheap for texts in other letters.
 """
 
 from __future__ import annotations
@@ -114,15 +117,19 @@ class Model:
     step: np.ndarray
     root: np.ndarray
     bits: np.ndarray
+    lacks: np.ndarray
+    """lacks[lang, code]: whether the language's sample lacks the letter."""
 
     @staticmethod
     def fit(samples: dict[str, list[str]], letters: int = SAMPLE_LETTERS) -> Model:
         """samples: some texts of each language; the first `letters` normalised letters are used."""
-        langs, texts = sorted(samples), {}
-        for lang in langs:
+        texts = {}
+        for lang in sorted(samples):
             points = folded(code_points(" ".join(samples[lang]).encode("utf-8")))
             keep = (points != 32) | np.r_[True, points[:-1] != 32]
-            texts[lang] = points[keep][:letters]
+            if (points[keep][:letters] != 32).any():
+                texts[lang] = points[keep][:letters]
+        langs = list(texts)
         seen, counts = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]), return_counts=True)
         known = [int(c) for c in seen[np.argsort(-counts, kind="stable")] if c != 32][:LETTERS]
         codes = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
@@ -148,19 +155,26 @@ class Model:
             base += len(to)
         bits = np.array([np.log2(max(2, len(texts[lang]))) for lang in langs])
         step = np.concatenate(steps).ravel() if steps else np.zeros(0, np.int32)
-        return Model(langs, codes, width, step, np.array(roots, np.int32), bits)
+        lacks = np.array([~np.isin(np.arange(width), codes[texts[lang]]) for lang in langs]).reshape(len(langs), width)
+        lacks[:, [_PAD, _SPACE]], lacks[:, _OTHER] = False, True
+        return Model(langs, codes, width, step, np.array(roots, np.int32), bits, lacks)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text under each language, and letters of each text."""
+        counts, letters, _ = self._parsed(data, offsets)
+        return counts, letters
+
+    def _parsed(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As phrases(), and how many letters of each text each language's sample lacks."""
         if len(offsets) == 2 and len(data) > _SLICE_BYTES:
             cuts = np.arange(0, len(data), _SLICE_BYTES)
             while (inside := (data[cuts] & 0xC0) == 0x80).any():
                 cuts = cuts - inside
             found = [self._phrases(data[s:e], np.array([0, e - s])) for s, e in zip(cuts, [*cuts[1:], len(data)])]
-            return sum(c for c, _ in found), sum(n for _, n in found)
+            return tuple(sum(x) for x in zip(*found))
         return self._phrases(data, offsets)
 
-    def _phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         points = code_points(data.tobytes())
         # where texts begin among the code points: bytes that don't continue one
@@ -180,9 +194,12 @@ class Model:
         blocks = -(-lens // BLOCK)
         owner = np.repeat(np.arange(n), blocks)
         total = int(blocks.sum())
-        counts = np.zeros((len(self.langs), n), np.int64)
+        counts, lacking = np.zeros((2, len(self.langs), n), np.int64)
         if total == 0 or not self.langs:
-            return counts, letters
+            return counts, letters, lacking
+        if np.ptp(self.bits):  # else they cost what other phrases cost
+            for i in range(len(self.langs)):
+                lacking[i] = np.diff(np.r_[0, np.cumsum(self.lacks[i][codes])][kept_at])
         first = np.r_[0, np.cumsum(blocks)][:-1]
         within = np.arange(total) - first[owner]
         begin = kept_at[:-1][owner] + within * BLOCK
@@ -201,7 +218,7 @@ class Model:
         count += state != self.root[:, None]
         for i in range(len(self.langs)):
             counts[i] = np.bincount(owner, count[i], n)
-        return counts, letters
+        return counts, letters, lacking
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """For each text: the language, a score from 0 to 1, and the entropy estimate in bits a letter.
@@ -209,10 +226,10 @@ class Model:
         The score is 1 less the ratio of the best estimate to the second best's, or to one phrase
         a letter where only one language is known.
         """
-        counts, letters = self.phrases(data, offsets)
+        counts, letters, lacking = self._parsed(data, offsets)
         if not self.langs:
             return [UNKNOWN] * len(letters), np.zeros(len(letters)), np.zeros(len(letters))
-        cost = counts * self.bits[:, None]
+        cost = counts * self.bits[:, None] + lacking * (self.bits.max() - self.bits)[:, None]
         best = np.argmin(cost, 0)
         ordered = np.sort(cost, 0)
         second = ordered[1] if len(self.langs) > 1 else letters * self.bits[0]
@@ -233,12 +250,14 @@ def held_out(doc_id):
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, letters: int = SAMPLE_LETTERS) -> DataFrame:
     """At most `rows` texts of each language, of rows that aren't held out, chosen by a hash of the id.
 
+    Rows of 200 characters or more come first, then the longest. Texts count from their first letter on.
     The ranking is cut in each task before the shuffle, so no language is gathered anywhere.
     """
-    learn = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") >= 200))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    learn = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    learn = learn.withColumn("size", F.least(F.length("text"), F.lit(200))).withColumn("text", F.regexp_replace("text", r"^\P{L}++", ""))
+    order = Window.partitionBy("lang").orderBy(F.desc("size"), F.xxhash64("doc_id"), "doc_id", "text")
     most = -(-2 * letters // rows)  # twice the share of a row: some rows are shorter than that
-    part = learn.select("lang", "doc_id", F.substring("text", 1, most).alias("text"))
+    part = learn.select("lang", "doc_id", "size", F.substring("text", 1, most).alias("text"))
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).orderBy("lang", "rank")
 
 
