@@ -1,6 +1,7 @@
 """BPE, language, chats, pages, licences and pseudonyms against brute force and edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -135,6 +136,49 @@ def test_languages_of_short_rows_are_learnt(spark):
     assert langid.fit(only).langs == ["fr"] and langid.accepted(only, langid.fit(only)).count() == 16
 
 
+def _invented(seed: int, alphabet: str, n_words: int, lo: int, hi: int, gap: str = " "):
+    """A maker of texts of random words over an alphabet, some of them far more frequent than others."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices(alphabet, k=rng.randint(lo, hi))) for _ in range(n_words)]
+    return lambda n: gap.join(rng.choices(words, [1 / (i + 1) for i in range(n_words)], k=n))
+
+
+def test_large_alphabets_and_languages_that_were_not_learnt(spark):
+    han = "".join(map(chr, range(0x4E00, 0x4E00 + 1500)))
+    make = {
+        "zh": _invented(1, han, 1500, 1, 3, ""),
+        "ru": _invented(2, "абвгдежзийклмнопрстуфхцчшщъыьэюя", 300, 2, 8),
+        "en": _invented(3, "etaoinshrdlucmfwypvbgkjqxz", 300, 2, 8),
+        "cs": _invented(4, "aeiounstrlkpmdvzjhcbyěščřžýáíéůúťďň", 300, 2, 8),
+    }
+    other = _invented(5, "qwxzkjyvbhgfaou", 300, 2, 8)
+    learnt = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, make[lang](150), lang) for k, lang in enumerate(make) for i in learnt[40 * k : 40 * k + 40]]
+    rows += [(1000 + 100 * k + j, make[lang](100), None) for k, lang in enumerate(make) for j in range(20)]
+    rows += [(2000 + j, other(100), None) for j in range(20)] + [(3000, "ქართული ენა " * 30, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    want = {1000 + 100 * k + j: lang for k, lang in enumerate(make) for j in range(20)}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert {i: got[i] for i in want} == want
+    kept = {r.doc_id: r.lang for r in langid.accepted(df, model).where("doc_id >= 1000").collect()}
+    assert kept == want
+
+
+def test_phrases_of_rare_letters_equal_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    from tidelog.llm.common import utf8_buffer
+
+    samples = {"x": ["the cat sat on the mat and the rat ate the cat"], "y": ["кот сидит на столе и the cat ест 猫が好き"]}
+    texts = ["the cat ate the mat", "кот и cat на столе", "猫が猫が好き the", "ж猫ж кот", "犬が好き кот犬"]
+    for letters in (1, 5, 60):
+        monkeypatch.setattr(langid, "LETTERS", letters)
+        m = langid.Model.fit(samples)
+        counts, _ = m.phrases(*utf8_buffer(pa.array(texts)))
+        assert counts.tolist() == [[_phrases(t, samples[lang][0]) for t in texts] for lang in m.langs]
+
+
 def test_accuracy_on_rows_that_were_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(df, langid.fit(df)).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")

@@ -35,11 +35,17 @@ SAMPLE_ROWS = 40
 SAMPLE_LETTERS = 30_000
 #: Letters parsed from the root at a time.
 BLOCK = 256
-#: Distinct letters that are told apart; all others are one letter that matches nothing.
+#: Letters, the commonest, that have a column in the table of transitions. Those by all others are
+#: looked up by state and letter, so alphabets of any size are told apart.
 LETTERS = 60
 UNKNOWN = "und"
-#: Estimates above this many bits a letter are no known language's: texts in its letters stay far below.
-MAX_BITS = 10.0
+#: A text is in a language if its estimate in bits a letter is below so many times what one half of the
+#: language's sample has under the other; half way to one phrase a letter at most.
+MAX_RATIO = 1.5
+#: The least limit, as a share of one phrase a letter: for samples that repeat themselves.
+MIN_SHARE = 0.3
+#: By so many standard deviations of the number of phrases may short texts be above the limit.
+DEVIATIONS = 2.0
 #: Above the state: how many phrases end with a step, up to 2.
 _ENDS = 29
 _MISS = np.int32(1 << _ENDS)
@@ -109,19 +115,27 @@ def folded(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """langs in order; step[state * width + code] holds the next state, with a multiple of _MISS where phrases end."""
+    """langs in order; step[state * width + code] holds the next state, with a multiple of _MISS where phrases end.
+
+    Codes from width on have no column: rare holds state * letters + code of each transition by them, in
+    order, and rare_to the states that they lead to.
+    """
 
     langs: list[str]
     codes: np.ndarray
     width: int
     step: np.ndarray
+    rare: np.ndarray
+    rare_to: np.ndarray
     root: np.ndarray
     bits: np.ndarray
     lacks: np.ndarray
     """lacks[lang, code]: whether the language's sample lacks the letter."""
+    limits: np.ndarray
+    """Bits a letter up to which a long text is in the language."""
 
     @staticmethod
-    def fit(samples: dict[str, list[str]], letters: int = SAMPLE_LETTERS) -> Model:
+    def fit(samples: dict[str, list[str]], letters: int = SAMPLE_LETTERS, calibrated: bool = True) -> Model:
         """samples: some texts of each language; the first `letters` normalised letters are used."""
         texts = {}
         for lang in sorted(samples):
@@ -131,18 +145,22 @@ class Model:
                 texts[lang] = points[keep][:letters]
         langs = list(texts)
         seen, counts = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        known = [int(c) for c in seen[np.argsort(-counts, kind="stable")] if c != 32][:LETTERS]
-        codes = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+        known = [int(c) for c in seen[np.argsort(-counts, kind="stable")] if c != 32]
+        codes = np.full(sys.maxunicode + 1, _OTHER, np.int32)
         codes[32] = _SPACE
         for i, c in enumerate(known):
             codes[c] = i + 3
-        width, steps, roots, base = len(known) + 3, [], [], 0
+        n_codes, width = len(known) + 3, min(len(known), LETTERS) + 3
+        steps, roots, base, rare = [], [], 0, {}
         for lang in langs:
-            to = suffix_automaton([int(c) for c in codes[texts[lang]] if c != _OTHER])
+            to = suffix_automaton(codes[texts[lang]].tolist())
             table = np.full((len(to), width), -1, np.int64)
             for state, edges in enumerate(to):
                 for c, nxt in edges.items():
-                    table[state, c] = nxt + base
+                    if c < width:
+                        table[state, c] = nxt + base
+                    else:
+                        rare[(state + base) * n_codes + c] = nxt + base
             # a new phrase starts with the letter that didn't fit, or is that letter alone
             again = np.where(table[0] >= 0, table[0] | int(_MISS), base | 2 * int(_MISS))
             alone = np.where(table[0] >= 0, table[0], base | int(_MISS))
@@ -155,9 +173,23 @@ class Model:
             base += len(to)
         bits = np.array([np.log2(max(2, len(texts[lang]))) for lang in langs])
         step = np.concatenate(steps).ravel() if steps else np.zeros(0, np.int32)
-        lacks = np.array([~np.isin(np.arange(width), codes[texts[lang]]) for lang in langs]).reshape(len(langs), width)
+        lacks = np.array([~np.isin(np.arange(n_codes), codes[texts[lang]]) for lang in langs]).reshape(len(langs), n_codes)
         lacks[:, [_PAD, _SPACE]], lacks[:, _OTHER] = False, True
-        return Model(langs, codes, width, step, np.array(roots, np.int32), bits, lacks)
+        keys = np.array(sorted(rare), np.int64)
+        rare_to = np.array([rare[k] for k in keys.tolist()], np.int32)
+        limits = np.array([_limit(texts[lang], b) for lang, b in zip(langs, bits)]) if calibrated else bits
+        return Model(langs, codes, width, step, keys, rare_to, np.array(roots, np.int32), bits, lacks, limits)
+
+    def _rare_step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next states, with phrases that end, by letters without a column. As for the others, a new
+        phrase starts with the letter that didn't fit, or is that letter alone."""
+        n_codes = self.lacks.shape[1]
+        nxt = self.step[state * np.int32(self.width) + _OTHER]
+        for start, ends in ((np.broadcast_to(self.root[:, None], state.shape), _MISS), (state, 0)):
+            keys = start.astype(np.int64) * n_codes + codes
+            at = np.minimum(np.searchsorted(self.rare, keys), len(self.rare) - 1)
+            nxt = np.where(self.rare[at] == keys, self.rare_to[at] | ends, nxt)
+        return nxt
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text under each language, and letters of each text."""
@@ -210,9 +242,16 @@ class Model:
         state = np.repeat(self.root[:, None], total, 1)
         count = np.zeros((len(self.langs), total), np.int32)
         width = np.int32(self.width)
+        any_rare = bool((codes >= width).any())
         for j in range(int(size[0])):
             m = int(active[j])
-            nxt = self.step[state[:, :m] * width + codes[begin[:m] + j]]
+            now = codes[begin[:m] + j]
+            seldom = np.flatnonzero(now >= width) if any_rare else ()
+            if len(seldom):
+                nxt = self.step[state[:, :m] * width + np.where(now < width, now, _OTHER)]
+                nxt[:, seldom] = self._rare_step(state[:, seldom], now[seldom])
+            else:
+                nxt = self.step[state[:, :m] * width + now]
             count[:, :m] += nxt >> _ENDS
             state[:, :m] = nxt & (_MISS - 1)
         count += state != self.root[:, None]
@@ -220,15 +259,16 @@ class Model:
             counts[i] = np.bincount(owner, count[i], n)
         return counts, letters, lacking
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """For each text: the language, a score from 0 to 1, and the entropy estimate in bits a letter.
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: the language, a score from 0 to 1, the entropy estimate in bits a letter, and
+        whether that is within what texts in the language have.
 
         The score is 1 less the ratio of the best estimate to the second best's, or to one phrase
         a letter where only one language is known.
         """
         counts, letters, lacking = self._parsed(data, offsets)
         if not self.langs:
-            return [UNKNOWN] * len(letters), np.zeros(len(letters)), np.zeros(len(letters))
+            return [UNKNOWN] * len(letters), np.zeros(len(letters)), np.zeros(len(letters)), np.zeros(len(letters), bool)
         cost = counts * self.bits[:, None] + lacking * (self.bits.max() - self.bits)[:, None]
         best = np.argmin(cost, 0)
         ordered = np.sort(cost, 0)
@@ -237,9 +277,22 @@ class Model:
             score = np.clip(np.nan_to_num(1 - ordered[0] / second), 0, 1)
             # without the last phrase, which the end of the text cuts off
             rate = np.nan_to_num(np.maximum(0, ordered[0] - self.bits[best]) / letters)
+            limit, bits = self.limits[best], self.bits[best]
+            known = ~(rate > np.minimum(limit + DEVIATIONS * np.sqrt(limit * bits / letters), (limit + bits) / 2))
         none = letters == 0
         score[none], rate[none] = 0, 0
-        return [UNKNOWN if x else self.langs[b] for x, b in zip(none, best)], score, rate
+        return [UNKNOWN if x else self.langs[b] for x, b in zip(none, best)], score, rate, known & ~none
+
+
+def _limit(sample: np.ndarray, bits: float) -> float:
+    """Of a language's normalised sample: the limit by how well its halves foretell each other."""
+    halves = [points.astype("<u4").tobytes().decode("utf-32-le") for points in (sample[: len(sample) // 2], sample[len(sample) // 2 :])]
+    rates = []
+    for learnt, other in (halves, halves[::-1]):
+        data = np.frombuffer(other.encode("utf-8"), np.uint8)
+        rates.append(Model.fit({"": [learnt]}, len(sample), False).predict(data, np.array([0, len(data)]))[2][0] if learnt.strip() and other.strip() else bits)
+    own = float(np.mean(rates))
+    return max(MIN_SHARE * bits, min(MAX_RATIO * own, (own + bits) / 2))
 
 
 def held_out(doc_id):
@@ -276,7 +329,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", _SLICE_BYTES):
-                langs, score, rate = shared.value.predict(*utf8_buffer(batch.column("text")))
+                langs, score, rate, _ = shared.value.predict(*utf8_buffer(batch.column("text")))
                 cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score), pa.array(rate)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "lang_pred", "score", "bits_per_letter"])
 
@@ -284,18 +337,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_letter double")
 
 
-def accepted(docs: DataFrame, model: Model, max_bits: float = MAX_BITS) -> DataFrame:
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all their columns, whose text is in some known language; a null lang
-    becomes the predicted one. Texts without a letter go, and texts whose estimate is above max_bits,
-    as that of letters which no language's sample holds."""
+    becomes the predicted one. Texts without a letter go, and texts whose estimate is above what
+    the sample of their nearest language shows of its own texts; short texts have more room."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", _SLICE_BYTES):
-                langs, _, rate = shared.value.predict(*utf8_buffer(batch.column("text")))
-                keep = pa.array([x != UNKNOWN and r <= max_bits for x, r in zip(langs, rate)], pa.bool_())
+                langs, _, _, known = shared.value.predict(*utf8_buffer(batch.column("text")))
+                keep = pa.array(known)
                 cols = {n: batch.column(n) for n in names}
                 cols["lang"] = pa.array([a if a is not None else b for a, b in zip(cols["lang"].to_pylist(), langs)], pa.string())
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names).filter(keep)
