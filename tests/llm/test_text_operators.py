@@ -315,6 +315,16 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_secrets_of_any_length_are_hidden_whole(spark):
+    rng = random.Random(3)
+    values = ["".join(rng.choices("ABCDEFabcdef0123456789_-.", k=n)) for n in (6, 119, 120, 121, 300, 5000)] + ["0123456789abcdef" * 20]
+    df = spark.createDataFrame([(i, f'token = "{v}" x') for i, v in enumerate(values)], "doc_id long, text string")
+    for r in pii.pseudonymise(df).collect():
+        v, got = values[r.doc_id], re.fullmatch(r'token = "([\w.-]+)" x', r.text)[1]
+        assert len(got) == len(v) and got != v
+        assert not any(got[i : i + 12] == v[i : i + 12] for i in range(len(v) - 11) if re.fullmatch(r"[A-Za-z0-9]+", v[i : i + 12]))
+
+
 def test_formats_are_permuted_one_to_one(spark):
     days = spark.range(28 * 12 * 2).selectExpr("format_string('%04d-%02d-%02d', 1990 + cast(id div 336 as int), cast(id % 336 div 28 as int) + 1, cast(id % 28 as int) + 1) as text")
     ends = spark.sql("select date_format(d, 'yyyy-MM-dd') as text from (select explode(sequence(date'1999-01-01', date'2002-12-31')) d) where day(d) > 28")

@@ -37,7 +37,7 @@ _SECRET_HEAD = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|acce
 #: In the order in which they are tried at a position. Java patterns; quantifiers are possessive or
 #: bounded, so no text makes them backtrack far.
 PATTERNS: dict[str, str] = {
-    "secret": rf"(?i:(?<![a-z]){_SECRET_HEAD})[A-Za-z0-9_+/.=-]{{6,120}}+",
+    "secret": rf"(?i:(?<![a-z]){_SECRET_HEAD})[A-Za-z0-9_+/.=-]{{6,}}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-])(?!\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
