@@ -271,6 +271,67 @@ def test_whole_texts_of_all_licences_are_found():
         assert (rule, licence) in {x[:2] for x in scanner.scan(text)}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD_2 = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+@pytest.mark.parametrize("text,rule", [(MIT, "mit-text"), (BSD_2, "bsd-2-text"), (BSD_3, "bsd-3-text"), (GPL, "gpl3-later")])
+def test_wrapped_and_numbered_texts_are_found(text, rule):
+    scanner = licenses.Scanner()
+    unwrapped = re.sub(r"(?<![.:\n])\n +|(?<![.:\n])\n(?!\n)", " ", text)
+    for t in (text, text.replace("\n", "\r\n"), "".join(f" * {x}\n" for x in text.split("\n")), unwrapped, f"Some words\n\n{text}\n\n{text}"):
+        assert [x[0] for x in scanner.scan(t)] == [rule], t
+    assert scanner.scan(f"{text}\n\n{text}")[0][3] == 2
+
+
+def test_sentences_over_lines_end_with_their_paragraph():
+    scanner = licenses.Scanner()
+    assert scanner.scan("This project is\nlicensed under the MIT License.\nx") == [("mit-notice", "MIT", 0, 1)]
+    assert scanner.scan("a\nLicensed under the GNU General Public License, version\n3.\nb") == [("gpl3-notice", "GPL-3.0-only", 1, 1)]
+    assert scanner.scan("Licensed under the GNU General Public\n\nLicense, version 3.") == []
+    assert scanner.scan("Released under\n" * 50_000 + "the MIT License.") == [("mit-notice", "MIT", 49_999, 1)]
+
+
 def _luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(digits[::-1])) % 10 == 0
 

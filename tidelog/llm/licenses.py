@@ -3,13 +3,15 @@
 A text is cut into sentences at line ends and at full stops, question and exclamation marks,
 semicolons and colons before white space. A normalised sentence (lower case, letters and digits
 only, single spaces) that is one of the known licence sentences, or ends with one, stands for that
-sentence's identifier; all others stand for nothing. Licence rules are ordered sequences of identifiers: the
+sentence's identifier; all others stand for nothing. Pieces of one paragraph that only a line end parts
+are also read as one, so sentences that are wrapped over lines are known; the longest such sentence
+that ends with a piece counts. Enumerators that begin a sentence (1.) or a line (a.) aren't sentences. Licence rules are ordered sequences of identifiers: the
 first rule in the list whose sequence occurs, at consecutive sentences of the text, claims these
 sentences, then the next rule is tried on what is left.
 
 Defined results: null and empty texts hold no licence; repeated rows give repeated rows; a text in
 which one rule matches several times has one row for it with the number of matches; sentence numbers
-count from 0 over the non-empty sentences.
+count from 0 over the non-empty pieces, so one that is wrapped over lines has a number for each.
 """
 
 from __future__ import annotations
@@ -70,6 +72,7 @@ RULES: list[tuple[str, str, list[str]]] = [
 ]
 
 _CUT = re.compile(r"\n+|(?<=[.!?;:])\s+")
+_ENUMERATOR = re.compile(r"[\W_]*(?:\d{1,3}|([a-z]|[ivx]{1,5}))[.:]", re.IGNORECASE)
 _NOT_WORD = re.compile(r"[^0-9a-z]+")
 
 
@@ -106,38 +109,75 @@ class Scanner:
             out = [o + s for o in out for s in steps]
         return out
 
-    def identifiers(self, text: str | None) -> list[tuple[int, frozenset]]:
-        """Number and identifiers of each known sentence of a text; that of its neighbours may lack."""
-        out, number = [], 0
-        for sentence in _CUT.split(text or ""):
-            n = normalised(sentence)
-            if not n:
-                continue
-            names = self.known.get(n)
-            if names is None:
-                tail = n.rsplit(" ", 2)
-                ends = self.by_end.get(" ".join(tail[-2:]))
-                if ends:
-                    best = max((k for k in ends if n.endswith(" " + k)), key=len, default=None)
-                    names = self.known[best] if best else None
-            if names:
-                out.append((number, frozenset(names)))
-            number += 1
-        return out
+    def _pieces(self, text: str):
+        """Normalised, for each piece that isn't empty, and whether it goes on in the line after its neighbour's."""
+        at, joined, begins = 0, False, True
+        for cut in [*_CUT.finditer(text), None]:
+            raw = text[at : cut.start() if cut else len(text)]
+            n = normalised(raw)
+            m = None if joined else _ENUMERATOR.fullmatch(raw.strip())
+            if n and (not m or m[1] and not begins):
+                yield n, joined
+            if cut:
+                joined = bool(n) and cut[0] == "\n" and raw.rstrip()[-1] not in ".!?;:"
+                at, begins = cut.end(), "\n" in cut[0]
+
+    def _longest(self, text: str) -> str | None:
+        """The longest known sentence that a normalised text is or ends with."""
+        ends = self.by_end.get(" ".join(text.rsplit(" ", 2)[-2:]))
+        return max((k for k in ends if k == text or text.endswith(" " + k)), key=len, default=None) if ends else None
+
+    def identifiers(self, text: str | None) -> list[tuple[int, int, frozenset]]:
+        """First and last number and identifiers of each known sentence of a text; those of one first
+        number from the longest to the shortest."""
+        out: list[tuple[int, int, frozenset]] = []
+        before: list[str] = []  # what the sentence holds, piece by piece
+        for number, (n, joined) in enumerate(self._pieces(text or "")):
+            if not joined:
+                before = []
+            before.append(n)
+            best = n if n in self.known else self._longest(n)
+            if best:
+                out.append((number, number, frozenset(self.known[best])))
+            if len(before) > 1:
+                # as many pieces as the longest known sentence can have
+                k, size = len(before) - 1, len(n)
+                if " ".join((before[-2] + " " + n).rsplit(" ", 2)[-2:]) in self.by_end:
+                    while k > 0 and size <= self.longest:
+                        k -= 1
+                        size += len(before[k]) + 1
+                    long, size = self._longest(" ".join(before[k:])), len(n)
+                    pieces = 1
+                    while long and size < len(long):
+                        pieces += 1
+                        size += len(before[-pieces]) + 1
+                    if long and pieces > 1:
+                        out.append((number - pieces + 1, number, frozenset(self.known[long])))
+        return sorted(out, key=lambda x: (x[0], -x[1]))
 
     def scan(self, text: str | None) -> list[tuple[str, str, int, int]]:
         """Rule, licence, first sentence number and count of matches, by first sentence."""
-        at = dict(self.identifiers(text))
+        at: dict[int, list[tuple[int, frozenset]]] = {}
+        for first, last, names in self.identifiers(text):
+            at.setdefault(first, []).append((last, names))
         if not at:
             return []
         found: dict[str, list[int]] = {}
-        free = set(at)
+        taken: set[int] = set()
+
+        def end(start: int, sequence: tuple) -> int | None:
+            """The last number of the sequence from a sentence on, if it's there and free."""
+            for last, names in at.get(start, ()):
+                if sequence[0] in names and taken.isdisjoint(range(start, last + 1)):
+                    if (got := end(last + 1, sequence[1:]) if len(sequence) > 1 else last) is not None:
+                        return got
+            return None
+
         for rule, sequences in self.sequences.items():
             for sequence in sequences:
-                for start in sorted(free):
-                    span = range(start, start + len(sequence))
-                    if all(i in free and name in at[i] for i, name in zip(span, sequence)):
-                        free.difference_update(span)
+                for start in sorted(at):
+                    if (last := end(start, sequence)) is not None:
+                        taken.update(range(start, last + 1))
                         found.setdefault(rule, []).append(start)
         return sorted(((r, self.licence[r], min(s), len(s)) for r, s in found.items()), key=lambda x: (x[2], x[0]))
 
