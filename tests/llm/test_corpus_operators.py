@@ -129,6 +129,15 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminated(df, bench.limit(0)).count() == len(docs) and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_are_found(spark):
+    words = text(12)
+    items = spark.createDataFrame([(None, words), (1, text(12))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {words} it is"), (2, text(40)), (None, words)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.containment) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, None, 1.0), (None, None, 1.0)}
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect()] == [2]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, text(20)) for i in range(20)], "item_id long, text string")
     docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("so "), "text", F.lit(" it is")).alias("text"))

@@ -80,7 +80,7 @@ def _contained(docs: DataFrame, items: DataFrame, threshold: float, width: int)
     stats = signed.groupBy("width").count().collect()  # a row for each of at most `width` widths
     blocks = max(1, -(-sum(r["count"] for r in stats) // BLOCK_ROWS))
     texts = docs.select("doc_id", "text").withColumn("w", words(F.col("text")))
-    item_words = items.select("item_id", words(F.col("text")).alias("iw"))
+    item_words = items.select(F.col("item_id").alias("_words_of"), words(F.col("text")).alias("iw"))
     out = None
     for r in sorted(stats, key=lambda r: r["width"]):
         w = r["width"]
@@ -88,7 +88,8 @@ def _contained(docs: DataFrame, items: DataFrame, threshold: float, width: int)
         for block in range(blocks):
             part = signed.where((F.col("width") == w) & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)).select("item_id", "least_size", "h")
             near = probed.join(F.broadcast(part), "h").where(F.col("n") - (w - 1) >= F.col("least_size"))
-            near = near.select("doc_id", "text", "item_id").distinct().join(item_words, "item_id")
+            near = near.select("doc_id", "text", "item_id").distinct()
+            near = near.join(item_words, near["item_id"].eqNullSafe(item_words["_words_of"])).drop("_words_of")
             mine = F.array_distinct(shingles(F.col("iw"), w))
             theirs = _let(words(F.col("text")), _shingles_of(w))
             near = near.withColumn("found", F.size(F.array_intersect(mine, theirs))).withColumn("n_shingles", F.size(mine))
