@@ -225,6 +225,15 @@ def test_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_queries(spark):
+    rows = [(i, [1.0, i / 10]) for i in range(1, 20)]
+    equal = spark.createDataFrame([*rows, (100, [1.0, 0.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(equal, radius_share=1.0).orderBy("rank").collect()] == [(100, i, i) for i in range(1, 11)]
+    other = spark.createDataFrame([*rows, (100, [1.0, 0.0]), (100, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id) for r in ann.nearest(other, radius_share=1.0).collect())
+    assert got == sorted([(i, i) for i in range(1, 11)] + [(i, 20 - i) for i in range(1, 11)])
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 

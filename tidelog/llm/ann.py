@@ -20,6 +20,8 @@ rows without vec_id take no part.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -131,7 +133,10 @@ def _packed(rows: DataFrame, blocks: int, shared, most: int) -> DataFrame:
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY, radius_share: float = RADIUS_SHARE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score for every row whose vec_id is divisible by `every`."""
+    """query_id, rank, vec_id, score for every row whose vec_id is divisible by `every`.
+
+    Rows of equal vec_id and vector ask once; an id with several vectors has a ranking for each of them.
+    """
     spark = embeddings.sparkSession
     rows = _valid(embeddings)
     chosen = [r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()]
@@ -140,11 +145,12 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY, radius_
     model = fit(np.array([v for v in chosen if len(v) == width]).reshape(-1, width))
     shared = spark.sparkContext.broadcast(model)
     rows = rows.where(F.size("embedding") == width)
+    asking = rows.where(F.col("vec_id") % every == 0).distinct()
     total, queries_total = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     blocks, query_blocks = max(1, -(-total // INDEX_BLOCK)), max(1, -(-queries_total // QUERY_BLOCK))
     radius = int(model[1].shape[1] * radius_share)
     index = _packed(rows, blocks, shared, INDEX_BLOCK * 2)
-    queries = _packed(rows.where(F.col("vec_id") % every == 0), query_blocks, shared, QUERY_BLOCK * 2)
+    queries = _packed(asking, query_blocks, shared, QUERY_BLOCK * 2)
     queries = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes")])
     pairs = queries.join(index, "block").select("ids", "vectors", "codes", "q_ids", "q_vectors", "q_codes")
 
@@ -156,8 +162,10 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY, radius_
                 codes, q_codes = (np.frombuffer(row[c], np.uint16).reshape(len(n), -1) for c, n in (("codes", ids), ("q_codes", q_ids)))
                 found = list(Block(ids, x, codes).search(q_ids, q, q_codes, k, radius))
                 cols = [pa.array(np.concatenate([np.repeat(q_ids[i], len(v)) for i, v, _ in found])), pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([d for *_, d in found]))]
-                yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
+                marks = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in q], np.int64)
+                cols.append(pa.array(np.concatenate([np.repeat(marks[i], len(v)) for i, v, _ in found])))
+                yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score", "asked"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double, asked long")
+    order = Window.partitionBy("query_id", "asked").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
