@@ -6,12 +6,14 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, chat, html_text, langid, licenses, pii
+from tidelog.llm.common import utf8_buffer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 HARD = ["", "ΑΣ ΣΣ. İstanbul DŽ", "a\x1cb c", "<|endoftext|> hi<|startoftext|>", "don't I'LL é ½²Ⅷ", "日本語 テキスト🙂", "x" * 3000, "ab" * 700 + " " + "é" * 400, "\u0000 ​", "ﬁ ß ẞ", "12345 a1b2", "K Å ſ", " \n\t "]
@@ -77,9 +79,6 @@ def test_phrases_equal_brute_force():
     samples = {"x": ["the cat sat on the mat and the rat ate the cat"], "y": ["le chat est sur la table et le rat mange le chat"]}
     m = langid.Model.fit(samples)
     texts = ["the cat ate the mat", "le rat est sur le chat", "zzz the qqq", "a", "the the the"]
-    from tidelog.llm.common import utf8_buffer
-    import pyarrow as pa
-
     counts, letters = m.phrases(*utf8_buffer(pa.array(texts)))
     for i, t in enumerate(texts):
         assert letters[i] == sum(c.isalpha() for c in t)
@@ -87,15 +86,30 @@ def test_phrases_equal_brute_force():
             assert counts[j, i] == _phrases(t, samples[lang][0])
 
 
-def test_long_texts_are_parsed_in_pieces(monkeypatch):
+def test_long_texts_are_parsed_as_one(monkeypatch):
+    import random
+
     import numpy as np
 
-    m = langid.Model.fit({"x": ["le château est très élevé et le roi est à la fenêtre"], "y": ["the king is at the window"]})
-    data = np.frombuffer(("très élevé à la fenêtre the king " * 40).encode(), np.uint8)
-    counts, letters = m.phrases(data, np.array([0, len(data)]))
-    monkeypatch.setattr(langid, "_SLICE_BYTES", 101)
-    more, same = m.phrases(data, np.array([0, len(data)]))
-    assert same == letters and (more >= counts).all() and (more <= counts + 2 * (len(data) // 101 + 1)).all()
+    samples = {"x": ["le château est très élevé et le roi est à la fenêtre"], "y": ["the king is at the window"], "z": ["кот сидит на столе"]}
+    words = " ".join(x for v in samples.values() for x in v).split()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 3, 40, 700, 2000)]
+    texts.append("a" * 900 + " кот" * 300)
+    for block, meet in ((langid.BLOCK, langid._MEET), (16, 4), (64, 64)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "_MEET", meet)
+        for letters in (3, 60):
+            monkeypatch.setattr(langid, "LETTERS", letters)
+            m = langid.Model.fit(samples)
+            want = [[_phrases(t, samples[lang][0]) for t in texts] for lang in m.langs]
+            counts, _ = m.phrases(*utf8_buffer(pa.array(texts)))
+            assert counts.tolist() == want
+            for i, t in enumerate(texts):
+                data = np.frombuffer(t.encode(), np.uint8)
+                for size in (101, 333, 1 << 20):
+                    monkeypatch.setattr(langid, "_SLICE_BYTES", size)
+                    assert m.phrases(data, np.array([0, len(data)]))[0][:, 0].tolist() == [w[i] for w in want]
 
 
 def test_language_rows(spark):
@@ -166,10 +180,6 @@ def test_large_alphabets_and_languages_that_were_not_learnt(spark):
 
 
 def test_phrases_of_rare_letters_equal_brute_force(monkeypatch):
-    import pyarrow as pa
-
-    from tidelog.llm.common import utf8_buffer
-
     samples = {"x": ["the cat sat on the mat and the rat ate the cat"], "y": ["кот сидит на столе и the cat ест 猫が好き"]}
     texts = ["the cat ate the mat", "кот и cat на столе", "猫が猫が好き the", "ж猫ж кот", "犬が好き кот犬"]
     for letters in (1, 5, 60):

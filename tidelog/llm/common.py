@@ -8,10 +8,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+#: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for tables in between: spark.checkpoint.dir, or what
+    the context was given as such. A cluster without either is refused, not written to one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = given.get() if given.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = LOCAL_CHECKPOINT_DIR
+    return named.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,8 +41,7 @@ class Scratch:
     else when the session's process ends."""
 
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR
-        self.spark, self.folder = spark, f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tidelog-{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         self._path(self.folder)[1].deleteOnExit(self._path(self.folder)[0])
 
@@ -61,14 +75,6 @@ def written(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).write(df)
 
 
-def free_name(name: str, df: DataFrame) -> str:
-    """The name, or with underscores after it, one that no column of df has in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,12 +7,13 @@ number of phrases, normalised by the logarithm of the sample's length, estimates
 the language with the smallest estimate wins.
 
 Parsing runs over all languages and many texts at once: normalised texts are cut in blocks of
-BLOCK letters, each parsed from the automaton's root, and NumPy steps all blocks together. The cut
-adds at most one phrase per block and language. Whole texts are parsed, none is sampled.
+BLOCK letters, each parsed from the automaton's root, and NumPy steps all blocks together. Blocks are
+then parsed again from the state in which the block before ended, up to where both parses meet, until
+none changes. So phrases go over the cuts, as in one parse of the whole text; none is sampled.
 
 Defined results: null texts and texts without a letter are UNKNOWN with score 0; ties go to the
 alphabetically first language; repeated rows give repeated rows; without any labelled text every
-row is UNKNOWN. Null ids are predicted like others and are never held out. Every language that some
+row is UNKNOWN; empty tables give empty results. Null ids are predicted like others and are never held out. Every language that some
 row with a letter is labelled with is learnt, however short its texts; longer rows are taken first.
 A letter that a language's sample lacks costs as much as a phrase of the largest sample, so small
 samples aren't cheap for texts in other letters.
@@ -33,8 +34,10 @@ from .common import slices, utf8_buffer
 #: The bound of the labelled sample: rows per language, and letters per language.
 SAMPLE_ROWS = 40
 SAMPLE_LETTERS = 30_000
-#: Letters parsed from the root at a time.
+#: Letters that are parsed side by side with those of other blocks, and how often a second parse looks
+#: whether it has met the first. Neither changes a result.
 BLOCK = 256
+_MEET = 16
 #: Letters, the commonest, that have a column in the table of transitions. Those by all others are
 #: looked up by state and letter, so alphabets of any size are told apart.
 LETTERS = 60
@@ -51,7 +54,7 @@ _ENDS = 29
 _MISS = np.int32(1 << _ENDS)
 _PAD, _SPACE, _OTHER = 0, 1, 2
 #: Text that is parsed at a time in a worker: some 20 times as much memory. Longer texts are parsed in
-#: pieces of that size, cut between characters, whose phrases and letters are added up.
+#: pieces of that size, cut between characters, each from the state in which the one before ended.
 _SLICE_BYTES = 2 << 20
 
 
@@ -151,10 +154,13 @@ class Model:
         for i, c in enumerate(known):
             codes[c] = i + 3
         n_codes, width = len(known) + 3, min(len(known), LETTERS) + 3
-        steps, roots, base, rare = [], [], 0, {}
+        # an automaton has fewer than twice as many states as letters; pages that stay unused take no memory
+        step = np.empty((sum(2 * len(t) + 1 for t in texts.values()), width), np.int32)
+        roots, base, rare = [], 0, {}
         for lang in langs:
             to = suffix_automaton(codes[texts[lang]].tolist())
-            table = np.full((len(to), width), -1, np.int64)
+            table = step[base : base + len(to)]
+            table[:] = -1
             for state, edges in enumerate(to):
                 for c, nxt in edges.items():
                     if c < width:
@@ -162,17 +168,19 @@ class Model:
                     else:
                         rare[(state + base) * n_codes + c] = nxt + base
             # a new phrase starts with the letter that didn't fit, or is that letter alone
-            again = np.where(table[0] >= 0, table[0] | int(_MISS), base | 2 * int(_MISS))
-            alone = np.where(table[0] >= 0, table[0], base | int(_MISS))
-            table = np.where(table >= 0, table, again)
+            again = np.where(table[0] >= 0, table[0] | _MISS, np.int32(base | 2 * int(_MISS)))
+            alone = np.where(table[0] >= 0, table[0], np.int32(base | int(_MISS)))
+            for i in range(width):
+                column = table[:, i]
+                column[column < 0] = again[i]
             table[0] = alone
             table[:, _PAD] = base | int(_MISS)
             table[0, _PAD] = base
-            steps.append(table.astype(np.int32))
             roots.append(base)
             base += len(to)
+            del to
         bits = np.array([np.log2(max(2, len(texts[lang]))) for lang in langs])
-        step = np.concatenate(steps).ravel() if steps else np.zeros(0, np.int32)
+        step = step[:base].reshape(-1)
         lacks = np.array([~np.isin(np.arange(n_codes), codes[texts[lang]]) for lang in langs]).reshape(len(langs), n_codes)
         lacks[:, [_PAD, _SPACE]], lacks[:, _OTHER] = False, True
         keys = np.array(sorted(rare), np.int64)
@@ -180,15 +188,21 @@ class Model:
         limits = np.array([_limit(texts[lang], b) for lang, b in zip(langs, bits)]) if calibrated else bits
         return Model(langs, codes, width, step, keys, rare_to, np.array(roots, np.int32), bits, lacks, limits)
 
-    def _rare_step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Next states, with phrases that end, by letters without a column. As for the others, a new
-        phrase starts with the letter that didn't fit, or is that letter alone."""
-        n_codes = self.lacks.shape[1]
-        nxt = self.step[state * np.int32(self.width) + _OTHER]
-        for start, ends in ((np.broadcast_to(self.root[:, None], state.shape), _MISS), (state, 0)):
-            keys = start.astype(np.int64) * n_codes + codes
+    def _step(self, state: np.ndarray, root: np.ndarray, codes: np.ndarray, any_rare: bool) -> np.ndarray:
+        """Next states, with how many phrases end, by the codes of the last axis."""
+        width = np.int32(self.width)
+        if not any_rare or not len(seldom := np.flatnonzero(codes >= width)):
+            return self.step[state * width + codes]
+        nxt = self.step[state * width + np.where(codes < width, codes, _OTHER)]
+        # letters without a column: as for the others, a new phrase starts with the letter that didn't
+        # fit, or is that letter alone
+        now, by = codes[seldom], state[..., seldom]
+        found = self.step[by * width + _OTHER]
+        for start, ends in ((np.broadcast_to(root, state.shape)[..., seldom], _MISS), (by, np.int32(0))):
+            keys = start.astype(np.int64) * self.lacks.shape[1] + now
             at = np.minimum(np.searchsorted(self.rare, keys), len(self.rare) - 1)
-            nxt = np.where(self.rare[at] == keys, self.rare_to[at] | ends, nxt)
+            found = np.where(self.rare[at] == keys, self.rare_to[at] | ends, found)
+        nxt[..., seldom] = found
         return nxt
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,22 +216,29 @@ class Model:
             cuts = np.arange(0, len(data), _SLICE_BYTES)
             while (inside := (data[cuts] & 0xC0) == 0x80).any():
                 cuts = cuts - inside
-            found = [self._phrases(data[s:e], np.array([0, e - s])) for s, e in zip(cuts, [*cuts[1:], len(data)])]
-            return tuple(sum(x) for x in zip(*found))
-        return self._phrases(data, offsets)
-
-    def _phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(offsets) - 1
+            total, carried = None, None
+            for s, e in zip(cuts, [*cuts[1:], len(data)]):
+                found, carried = self._phrases(data[s:e], np.array([0, e - s]), carried, e == len(data))
+                total = found if total is None else tuple(x + y for x, y in zip(total, found))
+            return total
+        return self._phrases(data, offsets)[0]
+
+    def _phrases(self, data: np.ndarray, offsets: np.ndarray, carried=None, ends: bool = True):
+        """What _parsed gives of some texts, and what one that goes on carries to its next piece: the
+        states it ends in and whether a space was last."""
+        n, n_langs = len(offsets) - 1, len(self.langs)
         points = code_points(data.tobytes())
         # where texts begin among the code points: bytes that don't continue one
         at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]
         low = folded(points)
-        starts = np.zeros(len(low) + 1, bool)
-        starts[at] = True
         space = low == 32
         keep = ~space
         keep[1:] |= space[1:] & ~space[:-1]
+        starts = np.zeros(len(low) + 1, bool)
+        starts[at] = True
         keep &= ~(space & starts[:-1])
+        if carried and len(space) and space[0]:
+            keep[0] = not carried[1]
         is_letter = np.r_[0, np.cumsum(~space)]
         letters = is_letter[at[1:]] - is_letter[at[:-1]]
         kept_at = np.r_[0, np.cumsum(keep)][at]
@@ -226,38 +247,73 @@ class Model:
         blocks = -(-lens // BLOCK)
         owner = np.repeat(np.arange(n), blocks)
         total = int(blocks.sum())
-        counts, lacking = np.zeros((2, len(self.langs), n), np.int64)
-        if total == 0 or not self.langs:
-            return counts, letters, lacking
+        counts, lacking = np.zeros((2, n_langs, n), np.int64)
+        if total == 0 or not n_langs:
+            if carried and ends:
+                counts += (carried[0] != self.root)[:, None]
+            return (counts, letters, lacking), carried
         if np.ptp(self.bits):  # else they cost what other phrases cost
-            for i in range(len(self.langs)):
+            for i in range(n_langs):
                 lacking[i] = np.diff(np.r_[0, np.cumsum(self.lacks[i][codes])][kept_at])
-        first = np.r_[0, np.cumsum(blocks)][:-1]
-        within = np.arange(total) - first[owner]
+        within = np.arange(total) - np.r_[0, np.cumsum(blocks)][:-1][owner]
         begin = kept_at[:-1][owner] + within * BLOCK
         size = np.minimum(BLOCK, lens[owner] - within * BLOCK)
         by_size = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[by_size], size[by_size], owner[by_size]
+        place = np.empty(total, np.int64)
+        place[by_size] = np.arange(total)
+        # from here on blocks go from the longest to the shortest; the place of the next in the text, or -1
+        after = np.where(np.r_[within[1:] > 0, False], np.r_[place[1:], -1], -1)[by_size]
+        begin, size, owner, first = begin[by_size], size[by_size], owner[by_size], (within == 0)[by_size]
+        root = self.root[:, None]
+        state = np.repeat(root, total, 1)
+        if carried:
+            state[:, first] = carried[0][:, None]
+        began = state.copy()
+        any_rare = bool((codes >= self.width).any())
+        count = np.zeros((n_langs, total), np.int32)
+        met: list[tuple[np.ndarray, np.ndarray]] = []  # states and counts after every _MEET letters
         active = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than j
-        state = np.repeat(self.root[:, None], total, 1)
-        count = np.zeros((len(self.langs), total), np.int32)
-        width = np.int32(self.width)
-        any_rare = bool((codes >= width).any())
         for j in range(int(size[0])):
             m = int(active[j])
-            now = codes[begin[:m] + j]
-            seldom = np.flatnonzero(now >= width) if any_rare else ()
-            if len(seldom):
-                nxt = self.step[state[:, :m] * width + np.where(now < width, now, _OTHER)]
-                nxt[:, seldom] = self._rare_step(state[:, seldom], now[seldom])
-            else:
-                nxt = self.step[state[:, :m] * width + now]
+            nxt = self._step(state[:, :m], root, codes[begin[:m] + j], any_rare)
             count[:, :m] += nxt >> _ENDS
             state[:, :m] = nxt & (_MISS - 1)
-        count += state != self.root[:, None]
-        for i in range(len(self.langs)):
+            if j % _MEET == _MEET - 1:
+                met.append((state.copy(), count.copy()))
+        changed = np.arange(total)
+        while len(changed := changed[after[changed] >= 0]):
+            lang, block = np.nonzero(state[:, changed] != began[:, after[changed]])
+            now_began, block = state[lang, changed[block]], after[changed[block]]
+            began[lang, block] = now_began
+            before = state[lang, block]
+            self._parse_again(lang, block, now_began, begin, size, codes, state, count, met, any_rare)
+            changed = np.unique(block[state[lang, block] != before])
+        last = (after < 0) & ends
+        count += (state != root) & last
+        for i in range(n_langs):
             counts[i] = np.bincount(owner, count[i], n)
-        return counts, letters, lacking
+        return (counts, letters, lacking), (state[:, np.flatnonzero(after < 0)[-1]], bool(space[-1]))
+
+    def _parse_again(self, lang, block, now, begin, size, codes, state, count, met, any_rare) -> None:
+        """Parses blocks under languages from other states, up to where the parse meets the one before."""
+        n = np.zeros(len(lang), np.int32)
+        for j in range(BLOCK):
+            over = size[block] <= j
+            if over.any():
+                state[lang[over], block[over]], count[lang[over], block[over]] = now[over], n[over]
+                lang, block, now, n = lang[~over], block[~over], now[~over], n[~over]
+            if not len(lang):
+                return
+            nxt = self._step(now, self.root[lang], codes[begin[block] + j], any_rare)
+            n, now = n + (nxt >> _ENDS), nxt & (_MISS - 1)
+            if j % _MEET == _MEET - 1:
+                k = j // _MEET
+                same = met[k][0][lang, block] == now
+                for later in [c for _, c in met[k + 1 :]] + [count]:
+                    later[lang[same], block[same]] += (n - met[k][1][lang, block])[same]
+                met[k][0][lang, block], met[k][1][lang, block] = now, n
+                lang, block, now, n = lang[~same], block[~same], now[~same], n[~same]
+        state[lang, block], count[lang, block] = now, n
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """For each text: the language, a score from 0 to 1, the entropy estimate in bits a letter, and

@@ -10,7 +10,8 @@ fingerprints at most, whatever the input.
 Only links of a spanning forest of each group leave it, and equal fingerprints are one node, so
 copies never meet as pairs. Components come from `components`.
 
-Defined results: a text without words (null or empty) has fingerprint zero and is linked like any
+Defined results: empty tables give empty results; texts of any length count whole, one at a time; a
+text without words (null or empty) has fingerprint zero and is linked like any
 other; repeated rows give repeated rows; component_id is the smallest non-null doc_id of the
 component, null if it has none.
 """
@@ -20,10 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, shuffle_partitions, written
+from .common import Scratch, shuffle_partitions, written
 from .components import components
 
 DISTANCE = 3
@@ -57,19 +58,20 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every whole text."""
+    """doc_id, t1 (a hash of the text) and fp, the fingerprint as a signed long, of every whole text."""
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), pa.array(fp.view(np.int64))], names=["doc_id", "t1", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("t1"), "text").mapInArrow(run, f"doc_id {kind}, t1 long, fp long")
 
 
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Links of a spanning forest of distinct fingerprints under the relation of at most distance bits."""
+    """Links that join distinct fingerprints under the relation of at most distance bits: of each that
+    isn't the first of its component to the first, so that few rounds join components of groups."""
     n = len(fps)
     parent = list(range(n))
 
@@ -79,7 +81,6 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    links = []
     u = fps.view(np.uint64)
     for i in range(0, n, _BLOCK):
         for j in range(i, n, _BLOCK):
@@ -88,8 +89,7 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
                 a, b = root(i + int(x)), root(j + int(y))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    links.append((int(fps[i + x]), int(fps[j + y])))
-    return links
+    return [(int(fps[i]), int(fps[r])) for i in range(n) if (r := root(i)) != i]
 
 
 def _masked(fp, low: int, width: int):
@@ -195,16 +195,23 @@ def _split(members: DataFrame) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    fps = written(fingerprints(docs))
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = components(links(distinct))
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, fp, component (a fingerprint), component_id of every row."""
+    scratch = Scratch(docs.sparkSession)
+    fps = scratch.write(fingerprints(docs))
+    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comp = scratch.write(components(links(distinct)))
     # a component is named by a fingerprint; its smallest doc_id is what the result carries
     named = comp.join(distinct, comp.node == distinct.fp).groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = written(comp.join(named, "component").select(F.col("node").alias("fp"), "component_id"))
-    labels = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    of_fp = scratch.write(comp.join(named, "component").select(F.col("node").alias("fp"), "component", "component_id"))
+    labels = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    scratch.drop(comp)
+    return fps.join(labels, "fp").select("doc_id", "t1", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    return _labelled(docs).select("doc_id", "fp", "component_id")
 
 
 def hexed(fp):
@@ -213,14 +220,19 @@ def hexed(fp):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id. A doc_id that several
-    rows carry is cut to one row; rows without a doc_id stay once for each distinct text, unless
-    a row with a doc_id is in every component of theirs."""
-    found = written(near_duplicates(docs).select("doc_id", "component_id"))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rank = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64(*docs.columns))
-        nth = free_name("_nth", docs)
-        out = out.withColumn(nth, F.row_number().over(rank)).where(F.col(nth) == 1).drop(nth)
-    return out
+    """docs with one row of each component: of the smallest doc_id, rows without one last; of rows that
+    share it, the one whose text has the smallest hash. So a doc_id that stands on texts of several
+    components is kept in each where it comes first. Of rows equal in doc_id and text one stays."""
+    found = written(_labelled(docs).select("doc_id", "t1", "component"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1")
+    keep = found.groupBy("component").agg(F.min(first).alias("m")).select(F.col("m.doc_id").alias("_kept_id"), F.col("m.t1").alias("_kept_text"))
+    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]) & (F.xxhash64(docs["text"]) == keep["_kept_text"]), "left_semi")
+    if not found.groupBy("doc_id", "t1").count().where("count > 1").limit(1).count():
+        return out
+    # repeated rows are aggregated, with a part in each task, rather than gathered
+    copies = out.groupBy("doc_id", F.xxhash64("text").alias("_t1")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*[c for c in docs.columns if not _unhashable(docs, c)])).alias("_row"))
+    return copies.select("_row.*")
+
+
+def _unhashable(docs: DataFrame, column: str) -> bool:
+    return "map<" in docs.schema[column].dataType.simpleString() or docs.schema[column].dataType.simpleString() == "variant"
