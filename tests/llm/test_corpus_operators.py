@@ -214,11 +214,52 @@ def test_a_full_radius_is_exact(spark):
     x = r.normal(size=(700, 12)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, rank int")
     got: dict[int, list] = {}
-    for row in ann.nearest(df, radius_share=1.0).orderBy("query_id", "rank").collect():
+    for row in ann.nearest(df, recall=1).orderBy("query_id", "rank").collect():
         got.setdefault(row.query_id, []).append(row.vec_id)
     assert got == {q: [v for v, _ in g] for q, g in brute_nearest(np.arange(700), x.astype(float)).items()}
 
 
+def clustered(rows, seed=3, size=64, each=100):
+    r = np.random.default_rng(seed)
+    return (np.repeat(r.normal(size=(rows // each, size)), each, 0) + 0.15 * r.normal(size=(rows, size))).astype(np.float32)
+
+
+def test_lists_of_near_values_hold_all_codes_in_the_radius():
+    for x, radius in ((clustered(3000), 20), (np.random.default_rng(1).normal(size=(900, 24)), 17)):
+        model = ann.fit(x[:500].astype(float))
+        codes = ann.encode(x, *model)
+        block = ann.Block(np.arange(len(x)), np.ones(len(x), np.int64), x, codes)
+        for q in range(0, len(x), 97):
+            near, probed = block.within(codes[q], radius)
+            assert near.tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(1) <= radius).tolist() and len(near) <= probed
+
+
+def test_probed_rows_grow_slower_than_rows():
+    """Of vectors that lie in groups, whose number grows with the rows."""
+    probed = []
+    for rows in (2_000, 8_000, 32_000):
+        x = clustered(rows).astype(float)
+        sample = x[np.random.default_rng(2).permutation(rows)[:2000]]
+        model = ann.fit(sample)
+        radius, codes = ann.fitted_radius(sample, model, -(-10 * 2000 // rows), ann.RECALL), ann.encode(x, *model)
+        block = ann.Block(np.arange(rows), np.ones(rows, np.int64), x, codes)
+        probed.append(np.mean([block.within(codes[q], radius)[1] for q in range(0, rows, rows // 40)]))
+    assert probed[1] < 3 * probed[0] and probed[2] < 3 * probed[1] and probed[2] < 0.1 * 32_000, probed
+
+
+def test_recall_on_groups_and_queries_far_from_all(spark):
+    x = clustered(3000)
+    x[100], x[200] = 40.0, -35.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(7)
+    got: dict[int, list] = {}
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_nearest(np.arange(3000), x.astype(float))
+    assert all(len(g) == 10 for g in got.values()) and got.keys() == want.keys()
+    assert sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    assert all(got[q] == [v for v, _ in want[q]] for q in (100, 200))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (100, [0.0, 1.0]), (9, []), (2, [1.0, 0.0])]
@@ -231,9 +272,9 @@ def test_odd_vectors(spark):
 def test_repeated_queries(spark):
     rows = [(i, [1.0, i / 10]) for i in range(1, 20)]
     equal = spark.createDataFrame([*rows, (100, [1.0, 0.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(equal, radius_share=1.0).orderBy("rank").collect()] == [(100, i, i) for i in range(1, 11)]
+    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(equal, recall=1).orderBy("rank").collect()] == [(100, i, i) for i in range(1, 11)]
     other = spark.createDataFrame([*rows, (100, [1.0, 0.0]), (100, [1.0, 2.0])], "vec_id long, embedding array<double>")
-    got = sorted((r.rank, r.vec_id) for r in ann.nearest(other, radius_share=1.0).collect())
+    got = sorted((r.rank, r.vec_id) for r in ann.nearest(other, recall=1).collect())
     assert got == sorted([(i, i) for i in range(1, 11)] + [(i, 20 - i) for i in range(1, 11)])
 
 

@@ -2,40 +2,45 @@
 
 Codes: ROTATIONS orthogonal rotations of the centred vectors, each turned towards its signs by
 iterative quantization on a bounded sample, give a bit per component and rotation. Codes are cut
-into substrings of PART bits. The index is dealt in blocks of rows; in each block every substring
-has an inverted list per value. Two codes within RADIUS bits agree in one of m substrings up to
-floor(RADIUS / m) bits, so a query probes in each substring the lists of values that near and finds
-every code within the radius; these are checked on the whole code, then ranked by the exact
-distance. A query with fewer than K rows in its radius in a block ranks the block's rows in the
-smallest radius that has K, so no answer is short.
+into substrings of PART bits, each with an inverted list per value. Two codes within a radius agree
+in one of m substrings up to floor(radius / m) bits, so a query probes in each substring the lists of
+values that near and finds every code within the radius; these are checked on the whole code, then
+ranked by the exact distance. The radius is the one within which RECALL of the sample's own nearest
+neighbours lie: of a sample row the nearest k in as many rows as the table has, which is one at least,
+so a small sample errs on the safe side.
 
-Queries go in blocks against index blocks, as packed rows; each pair of blocks yields K rows a
-query at most. No index list is capped.
+The index is dealt in blocks of rows. A block's index is built once; then all queries pass it, streamed.
+A query that finds fewer than K rows within its radius in the whole table searches once more
+without a radius, so no answer is short. No list is capped.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or hold
 null or non-finite components take no part; a query's own row isn't a candidate, repeated rows of
-its vec_id neither; other repeated rows are candidates of their own; ties go to the smaller vec_id;
-rows without vec_id take no part.
+its vec_id neither; other repeated rows are candidates of their own, but are held and compared once;
+ties go to the smaller vec_id; rows without vec_id take no part; rows of equal vec_id and vector ask
+once, an id with several vectors has a ranking for each of them; an empty table gives an empty result;
+columns besides vec_id and embedding aren't read.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 K = 10
 QUERY_EVERY = 100
-#: Rows that the rotations are fitted on: the bound of the sample.
+#: Rows that the rotations and the radius are fitted on: the bound of the sample. So many of them ask.
 SAMPLE_ROWS = 4000
+SAMPLE_QUERIES = 400
 ROTATIONS = 2
-#: Share of a code's bits that may differ; measured recall in the README.
-RADIUS_SHARE = 0.47
+#: Share of the sample's nearest neighbours that the radius takes in; measured recall in the README.
+RECALL = 0.98
 PART = 16
 INDEX_BLOCK = 16_384
+#: Queries whose distances to a block are held at a time.
 QUERY_BLOCK = 256
 _ITERATIONS = 30
 
@@ -63,109 +68,138 @@ def encode(vectors: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.nd
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint16)
 
 
+def _apart(queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(queries ^ codes).sum(-1, dtype=np.int64)
+
+
+def fitted_radius(sample: np.ndarray, model: tuple[np.ndarray, np.ndarray], k: int, recall: float) -> int:
+    """Bits within which so many of the sample's k nearest neighbours lie; all bits if none has any."""
+    bits = model[1].shape[1]
+    codes, apart = encode(sample, *model), []
+    for i in range(min(len(sample), SAMPLE_QUERIES)):
+        d = ((sample - sample[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+        apart.append(_apart(codes[near], codes[i]))
+    apart = np.sort(np.concatenate(apart)) if apart else np.zeros(0, np.int64)
+    return int(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) if len(apart) else bits
+
+
 class Block:
-    """The index of some rows."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
-        self.ids, self.vectors, self.codes = ids, vectors, codes
-        self.lists = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
-
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """Queries by rows: whether the codes differ in radius bits at most."""
-        near = np.zeros((len(queries), len(self.ids)), bool)
-        each = radius // len(self.lists)
-        for j, (values, row_value) in enumerate(self.lists):
-            probed = np.bitwise_count(queries[:, j, None] ^ values[None]) <= each  # values whose lists are read
-            near |= probed[:, row_value]
-        q, r = np.nonzero(near)
-        near[q, r] = np.bitwise_count(queries[q] ^ self.codes[r]).sum(1, dtype=np.int64) <= radius
-        return near
-
-    def search(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, radius: int):
-        """For each query: its number, and the ids and distances of its nearest found."""
-        near = self.within(codes, radius)
-        own = ids[:, None] == self.ids[None]
-        for i in range(len(ids)):
-            rows = np.flatnonzero(near[i] & ~own[i])
-            if len(rows) < k:
-                others = np.flatnonzero(~own[i])
-                apart = np.bitwise_count(codes[i] ^ self.codes[others]).sum(1, dtype=np.int64)
-                reach = np.partition(apart, k - 1)[k - 1] if len(others) > k else np.inf
-                rows = others[apart <= reach]
-            d = np.sqrt(((self.vectors[rows] - vectors[i]) ** 2).sum(1))
-            best = np.lexsort((self.ids[rows], d))[:k]
-            yield i, self.ids[rows[best]], d[best]
-
-
-_PACKED = "block long, ids binary, vectors binary, codes binary"
+    """The index of some rows: for each substring, the values that occur, and the rows of each of them."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
+        self.ids, self.copies, self.vectors, self.codes = ids, copies, vectors, codes
+        self.lists = []
+        for j in range(codes.shape[1]):
+            values, of, counts = np.unique(codes[:, j], return_inverse=True, return_counts=True)
+            self.lists.append((values, np.argsort(of, kind="stable"), np.r_[0, np.cumsum(counts)]))
+
+    def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+        """The rows whose codes differ from the query's in radius bits at most, and how many were probed."""
+        each, seen = radius // len(self.lists), np.zeros(len(self.ids), bool)
+        for j, (values, rows, begin) in enumerate(self.lists):
+            near = np.flatnonzero(np.bitwise_count(values ^ query[j]) <= each)
+            sizes = begin[near + 1] - begin[near]
+            # the places of all rows on the lists that are probed
+            seen[rows[np.arange(sizes.sum()) + np.repeat(begin[near] - np.r_[0, np.cumsum(sizes)][:-1], sizes)]] = True
+        probed = np.flatnonzero(seen)
+        return probed[_apart(self.codes[probed], query) <= radius], len(probed)
+
+    def search(self, query_id: int, vector: np.ndarray, code: np.ndarray, k: int, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows nearest to a query among those within the radius, or all, and their distances; at
+        least all that are among its k nearest, whatever copies they have."""
+        rows = np.arange(len(self.ids)) if radius is None else self.within(code, radius)[0]
+        rows = rows[self.ids[rows] != query_id]
+        d = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(1))
+        best = np.lexsort((self.ids[rows], d))[:k]
+        return rows[best], d[best]
 
 
 def _valid(embeddings: DataFrame) -> DataFrame:
+    """vec_id, embedding, copies."""
     e = F.col("embedding")
+    if embeddings.schema["embedding"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        embeddings = embeddings.withColumn("embedding", e.cast("array<double>"))
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return embeddings.select(F.col("vec_id").cast("long"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & ~bad & F.exists(e, lambda x: x != 0))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & e.isNotNull() & ~bad & F.exists(e, lambda x: x != 0))
+    return rows.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies"))
 
 
-def _packed(rows: DataFrame, blocks: int, shared, most: int) -> DataFrame:
-    """Rows of a block together, with their codes, as packed rows of `most` vectors at most."""
+_FOUND = "query_id long, asked long, vec_id long, score double, copies long"
 
-    def packed(b, held):
-        x = np.array([v for _, v in held], np.float64)
-        row = (b, np.array([i for i, _ in held], np.int64).tobytes(), x.tobytes(), encode(x, *shared.value).tobytes())
-        cols = [pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-        return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "vectors", "codes"])
 
-    def run(batches):
-        held: list[tuple] = []
-        last = None
-        for batch in batches:
-            for b, i, v in zip(*(batch.column(c).to_pylist() for c in ("block", "vec_id", "embedding"))):
-                if held and (b != last or len(held) == most):
-                    yield packed(last, held)
-                    held = []
-                last = b
-                held.append((i, v))
-        if held:
-            yield packed(last, held)
+def _searched(rows: DataFrame, asking: DataFrame, blocks: int, shared, k: int, radius: int | None) -> DataFrame:
+    """The k nearest rows of each query in each block, within the radius if there is one."""
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    return dealt.repartition(blocks, "block").sortWithinPartitions("block").select("block", "vec_id", "embedding").mapInArrow(run, _PACKED)
+    def run(batches):
+        model = shared.value
+        last, held, index = None, [], None
 
+        def built() -> Block:
+            ids, copies = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            vectors = np.concatenate([x[2] for x in held])
+            return Block(ids, copies, vectors, encode(vectors, *model))
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY, radius_share: float = RADIUS_SHARE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+        for batch in batches:
+            number, asks = np.asarray(batch.column("block")), np.asarray(batch.column("asks").cast(pa.int8()))
+            edges = np.flatnonzero((number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1 if len(number) else ()
+            for s, e in zip([0, *edges], [*edges, len(number)]) if len(number) else ():
+                ids, marks = np.asarray(batch.column("vec_id"))[s:e], np.asarray(batch.column("mark"))[s:e]
+                vectors = np.asarray(batch.column("embedding").slice(s, e - s).flatten(), np.float64).reshape(e - s, -1)
+                if number[s] != last:
+                    last, held, index = number[s], [], None
+                if not asks[s]:
+                    held.append((ids, marks, vectors))
+                    continue
+                if not held and index is None:
+                    continue
+                if index is None:
+                    index, held = built(), []
+                for q in range(0, e - s, QUERY_BLOCK):
+                    codes = encode(vectors[q : q + QUERY_BLOCK], *model)
+                    found = [index.search(int(ids[q + i]), vectors[q + i], codes[i], k, radius) for i in range(len(codes))]
+                    of = np.repeat(np.arange(q, q + len(codes)), [len(r) for r, _ in found])
+                    at = np.concatenate([r for r, _ in found])
+                    cols = [ids[of], marks[of], index.ids[at], np.concatenate([d for _, d in found]), index.copies[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "asked", "vec_id", "score", "copies"])
+
+    # the column mark has a row's copies, or a hash that tells a query's vectors apart
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "vec_id", F.col("copies").alias("mark"), "embedding")
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    asked = asking.select(every_block, F.lit(True).alias("asks"), "vec_id", F.xxhash64("embedding").alias("mark"), "embedding")
+    return dealt.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks").mapInArrow(run, _FOUND)
+
+
+def nearest(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by `every`.
 
-    Rows of equal vec_id and vector ask once; an id with several vectors has a ranking for each of them.
+    With a recall of 1 nothing is left out: all rows are compared.
     """
     spark = embeddings.sparkSession
-    rows = _valid(embeddings)
-    chosen = [r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()]
+    scratch = Scratch(spark)
+    rows = scratch.write(_valid(embeddings))
+    chosen = [r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")).limit(sample_rows).select("embedding").collect()]
     sizes = [len(v) for v in chosen]
     width = max(set(sizes), key=lambda n: (sizes.count(n), n)) if sizes else 1
-    model = fit(np.array([v for v in chosen if len(v) == width]).reshape(-1, width))
-    shared = spark.sparkContext.broadcast(model)
+    sample = np.array([v for v in chosen if len(v) == width], np.float64).reshape(-1, width)
     rows = rows.where(F.size("embedding") == width)
-    asking = rows.where(F.col("vec_id") % every == 0).distinct()
-    total, queries_total = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    blocks, query_blocks = max(1, -(-total // INDEX_BLOCK)), max(1, -(-queries_total // QUERY_BLOCK))
-    radius = int(model[1].shape[1] * radius_share)
-    index = _packed(rows, blocks, shared, INDEX_BLOCK * 2)
-    queries = _packed(asking, query_blocks, shared, QUERY_BLOCK * 2)
-    queries = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes")])
-    pairs = queries.join(index, "block").select("ids", "vectors", "codes", "q_ids", "q_vectors", "q_codes")
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, q_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "q_ids"))
-                x, q = (np.frombuffer(row[c], np.float64).reshape(len(n), -1) for c, n in (("vectors", ids), ("q_vectors", q_ids)))
-                codes, q_codes = (np.frombuffer(row[c], np.uint16).reshape(len(n), -1) for c, n in (("codes", ids), ("q_codes", q_ids)))
-                found = list(Block(ids, x, codes).search(q_ids, q, q_codes, k, radius))
-                cols = [pa.array(np.concatenate([np.repeat(q_ids[i], len(v)) for i, v, _ in found])), pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([d for *_, d in found]))]
-                marks = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in q], np.int64)
-                cols.append(pa.array(np.concatenate([np.repeat(marks[i], len(v)) for i, v, _ in found])))
-                yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score", "asked"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double, asked long")
+    total = rows.count()
+    model = fit(sample)
+    # k of all rows are as near as so many of the sample
+    radius = None if recall >= 1 else fitted_radius(sample, model, max(1, -(-k * len(sample) // max(1, total))), recall)
+    shared = spark.sparkContext.broadcast(model)  # 64 KB a rotation and 64 components
+    asking = rows.where(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-total // INDEX_BLOCK))
+    found = scratch.write(_searched(rows, asking, blocks, shared, k, radius))
+    if radius is not None:
+        enough = found.groupBy("query_id", "asked").agg(F.sum("copies").alias("n")).where(F.col("n") >= k)
+        short = asking.join(enough, (asking.vec_id == enough.query_id) & (F.xxhash64(asking.embedding) == enough.asked), "left_anti")
+        if short.limit(1).count():
+            enough = enough.select("query_id", "asked")
+            found = found.join(enough, ["query_id", "asked"], "left_semi").unionByName(_searched(rows, short, blocks, shared, k, None))
     order = Window.partitionBy("query_id", "asked").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
