@@ -420,6 +420,70 @@ def test_every_letter_is_split_as_by_the_library(library):
             assert t.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(low)
 
 
+def _labels_by_definition(found, known):
+    """Both passes, block by block: what an ambiguous block's neighbours are is looked up anew each time."""
+    first = [html_text.first_pass(b, known) for b in found]
+
+    def look(labels, i, step, wanted):
+        j = i + step
+        while 0 <= j < len(found):
+            if found[j].main == found[i].main and labels[j] in wanted:
+                return labels[j]
+            j += step
+        return "bad" if found[i].main is None else "good"
+
+    decided = ("good", "bad")
+    second = list(first)
+    for i, b in enumerate(found):
+        if first[i] == "short":
+            sides = [look(first, i, d, decided) for d in (-1, 1)]
+            if sides[0] == sides[1]:
+                second[i] = sides[0]
+            else:
+                near = look(first, i, -1 if sides[0] == "bad" else 1, (*decided, "near-good"))
+                second[i] = "good" if b.main is not None or near == "near-good" else "bad"
+    third = list(second)
+    for i in range(len(found)):
+        if second[i] == "near-good":
+            third[i] = "bad" if [look(second, i, d, decided) for d in (-1, 1)] == ["bad", "bad"] else "good"
+    for i, b in enumerate(found):
+        if b.heading and first[i] != "bad" and third[i] == "bad":
+            reach = 0
+            for j in range(i + 1, len(found)):
+                if reach > html_text.HEADING_REACH:
+                    break
+                if third[j] == "good" and found[j].main == b.main:
+                    third[i] = "good"
+                    break
+                reach += len(found[j].text)
+    return third
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.floats(0, 1), st.sampled_from([0, 0, 0.1, 0.4, 0.9]), st.booleans(), st.booleans(), st.sampled_from([None, None, 0, 1])), max_size=14))
+def test_both_passes_equal_their_definition(rows):
+    found = []
+    for words, stops, links, heading, never, main in rows:
+        text = " ".join("the" if i < stops * words else "xylophone" for i in range(words))
+        found.append(html_text.Block(text, int(links * len(text)), heading, never and main is None, main))
+    html_text.classify(found)
+    assert [b.label for b in found] == _labels_by_definition(found, html_text.known_language(found))
+
+
+FINNISH = "Kissa istuu ikkunalla ja katselee pihalle, jossa lapset leikkivät lumessa koko pitkän iltapäivän ajan. Illalla perhe kokoontuu keittiöön syömään keittoa ja kertomaan toisilleen päivän tapahtumista, kunnes on aika mennä nukkumaan."
+
+
+def test_rules_decide_within_and_without_marks():
+    links = "<ul><li><a href=1>One other page</a></li><li><a href=2>Two other pages</a></li></ul>"
+    # between lists of links what is ambiguous goes, beside prose it stays
+    assert html_text.main_text(f"<article><p>{LONG}</p>{links}<p>Most read</p>{links}</article>") == LONG
+    assert html_text.main_text(f"<article><h2>Head</h2><p>Short one.</p><p>{LONG}</p></article>") == f"Head\nShort one.\n{LONG}"
+    assert html_text.main_text(f"<article><p>{LONG}</p><div class='legal-history'><p>Of old laws.</p></div><p>So <math><mi>x</mi></math> is it.</p></article>") == f"{LONG}\nOf old laws.\nSo x is it."
+    # no stop words are known: length and links decide
+    assert html_text.main_text(f"<div><ul><li><a href=1>Etusivu</a></li></ul><p>{FINNISH}</p><p>{FINNISH}</p><p><a href=2>Lue lisää uutisia täältä</a></p></div>") == f"{FINNISH}\n{FINNISH}"
+    assert html_text.main_text(f"<div class='ad-banner'><p>{LONG}</p></div><div class='related-posts'>{LONG}</div><p>{LONG}</p>") == LONG
+
+
 def test_class_names_of_articles_and_their_heads():
     source = f"<div class='page-header'><p>{LONG}</p></div><article class='post tag-social category-ad'><div class='entry-header'><h1>Head</h1></div><p>{LONG}</p><div class='ad'>Buy it</div></article>"
     assert html_text.main_text(source) == f"Head\n{LONG}"

@@ -3,13 +3,21 @@
 A tolerant tokenizer cuts a page into blocks of text at block-level tags and keeps for each block
 its link and stop-word density, length and what it stands in. Pass 1 calls a block good, bad,
 near-good or short by these; pass 2 gives ambiguous blocks (near-good, short) the label of their
-nearest decided neighbours. Elements that are never main text (menus, footers, forms, scripts,
-notices, comments and so on, by tag, role or class) are bad whatever they hold. If a page marks its
-main text (an article or main element), only blocks in there can be good, and ambiguous ones there
-are.
+nearest decided neighbours. The rules and thresholds follow J. Pomikalek, "Removing Boilerplate and
+Duplicate Content from Web Corpora" (2011).
 
-Defined results: null and empty html give the empty text; broken markup is read as far as it goes,
-and a "<" that starts no tag is text; repeated rows give repeated rows; ties don't occur.
+Elements that are never main text (menus, footers, forms, scripts, notices, comments and so on, by
+tag, role or class) are bad whatever they hold. If a page marks its main text (an article or main
+element), only blocks in there can be good, more links are allowed there, and the element's own
+edges count as good neighbours: what is ambiguous goes only between blocks that are bad.
+
+Stop words of some languages are known. A page whose prose has few of them is in another language, and
+its blocks are told by length and links alone.
+
+Defined results: null and empty html give the empty text, empty tables an empty result; broken markup
+is read as far as it goes, and a "<" that starts no tag is text; repeated rows give repeated rows; ties
+don't occur; pages of any length are read whole, one at a time, in time that grows with their length;
+columns besides page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -28,6 +36,8 @@ LINK_DENSITY = 0.2
 LINK_DENSITY_MARKED = 0.5
 STOPS_LOW = 0.30
 STOPS_HIGH = 0.32
+#: The language counts as known if so many words of a page's text outside of links are stop words.
+STOPS_KNOWN = 0.12
 #: A heading counts as main text if a good block begins within so many characters after it.
 HEADING_REACH = 200
 
@@ -58,7 +68,7 @@ _BLOCKS = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math object audio video canvas map".split())
+_RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg object audio video canvas map".split())
 _NEVER = frozenset("head nav footer aside form button select option optgroup label input menu dialog fieldset legend frameset".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An end tag of another element doesn't close these.
@@ -67,7 +77,7 @@ _WALLS = frozenset("html body article main section div table td th nav aside hea
 _ENDS_OPEN = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = _BLOCKS - {"p", "body", "html", "head", "title", "option", "optgroup", "caption", "col", "colgroup", "tbody", "tfoot", "thead"}
 
-#: Words of class names and ids that mark what isn't main text.
+#: Words of class names and ids that mark what isn't main text, if all other words of the name are neutral.
 _BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promotion promoted sidebar aside rail nav "
     "navbar navigation menu menus submenu topbar breadcrumb breadcrumbs footer foot footnav masthead comment comments commentlist disqus replies "
@@ -75,6 +85,13 @@ _BAD_NAMES = frozenset(
     "share sharing social related recommended recommendations widget widgets pagination pager toolbar skip hidden copyright legal disclaimer "
     "paywall teaser teasers outbrain taboola search searchform form".split()
 )
+_NEUTRAL_NAMES = frozenset(
+    "site page web global top bottom left right upper lower outer inner main primary secondary header head title box area block blocks bar strip "
+    "zone slot unit container wrapper wrap holder panel section group list lists item items link links button buttons icon icons text content "
+    "post posts article articles story stories entry news mobile desktop sticky fixed floating small large big mini first last col column row "
+    "grid inline in to us up down on by for your and new wp the email mail policy image img logo count thread reply user reader readers wide "
+    "narrow full half message msg info component module".split()
+)
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note status".split())
 _MAIN_NAMES = frozenset("article articlebody article-body article-content post-content post-body entry-content main-content story-body content main story entry post".split())
 #: Names beside "header" that mark the head of the article, not of the page.
@@ -98,6 +115,8 @@ class Block:
     never: bool
     main: int | None
     label: str = ""
+    stops: tuple[int, int] | None = None
+    """How many of its words are stop words, and how many it has; counted once."""
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -121,7 +140,7 @@ def _marks(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[bool, i
                 continue  # themes put topics and tags into its class names
             apart = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()
             parts = _NAME_PARTS.findall(apart)
-            if parts and parts[0] not in ("has", "with", "no", "is", "without") and not _BAD_NAMES.isdisjoint(parts):
+            if parts and not _BAD_NAMES.isdisjoint(parts) and all(p in _BAD_NAMES or p in _NEUTRAL_NAMES or p.isdigit() for p in parts) and parts[0] != "no":
                 return True, 0
             if not in_main and "header" in parts and _TITLE_NAMES.isdisjoint(parts) and tag not in _HEADINGS:
                 return True, 0
@@ -224,51 +243,65 @@ def blocks(source: str) -> list[Block]:
     return found
 
 
-def first_pass(b: Block) -> str:
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+def _stop_words(b: Block) -> tuple[int, int]:
+    if b.stops is None:
+        words = _WORD.findall(b.text.lower())
+        b.stops = sum(w in STOP_WORDS for w in words), len(words)
+    return b.stops
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the text that could be main text has the stop words of a language that is known."""
+    counts = [_stop_words(b) for b in found if not b.never and b.links <= LINK_DENSITY * len(b.text)]
+    return sum(s for s, _ in counts) >= STOPS_KNOWN * sum(n for _, n in counts)
+
+
+def first_pass(b: Block, known: bool = True) -> str:
+    stops, words = _stop_words(b)
+    share = stops / words if known and words else 1.0
     density = b.links / len(b.text)
-    if b.never or density > (LINK_DENSITY_MARKED if b.main is not None else LINK_DENSITY):
+    marked = b.main is not None
+    if b.never or density > (LINK_DENSITY_MARKED if marked else LINK_DENSITY):
         return "bad"
-    if b.main is not None:
-        return "good" if len(b.text) > LONG_CHARS and stops >= STOPS_HIGH else "near-good"
-    if "©" in b.text:
+    if not marked and "©" in b.text:
         return "bad"
     if len(b.text) < SHORT_CHARS:
-        return "bad" if b.links else "short"
-    if stops >= STOPS_HIGH:
+        return "bad" if b.links and not marked else "short"
+    if share >= STOPS_HIGH:
         return "good" if len(b.text) > LONG_CHARS else "near-good"
-    return "near-good" if stops >= STOPS_LOW else "bad"
+    return "near-good" if share >= STOPS_LOW or marked else "bad"
 
 
 def classify(found: list[Block]) -> None:
     """Sets each block's label to good or bad."""
-    first = [first_pass(b) for b in found]
+    known = known_language(found)
+    first = [first_pass(b, known) for b in found]
     n = len(found)
 
-    def nearest(labels: list[str], stop_at: set[str]) -> tuple[list[str], list[str]]:
-        before, after, now = [""] * n, [""] * n, "bad"
-        for i in range(n):
-            before[i] = now
-            now = labels[i] if labels[i] in stop_at else now
-        now = "bad"
-        for i in range(n - 1, -1, -1):
-            after[i] = now
-            now = labels[i] if labels[i] in stop_at else now
-        return before, after
+    def nearest(labels: list[str], stop_at: set[str], order) -> list[str]:
+        """The label of the nearest block before each one, in an order, that has one of these; what
+        stands around marked elements is skipped, and their edges are good."""
+        out, now = [""] * n, {None: "bad"}
+        for i in order:
+            inside = found[i].main
+            out[i] = now.setdefault(inside, "good")
+            if labels[i] in stop_at:
+                now[inside] = labels[i]
+        return out
+
+    def around(labels: list[str], stop_at: set[str]) -> tuple[list[str], list[str]]:
+        return nearest(labels, stop_at, range(n)), nearest(labels, stop_at, range(n - 1, -1, -1))
 
     labels = list(first)
     decided = {"good", "bad"}
-    before, after = nearest(first, decided)
-    near_before, near_after = nearest(first, decided | {"near-good"})
+    before, after = around(first, decided)
+    near_before, near_after = around(first, decided | {"near-good"})
     for i, b in enumerate(found):
         if first[i] == "short":
             sides = {before[i], after[i]}
             near = near_before[i] if before[i] == "bad" else near_after[i]
-            labels[i] = "good" if sides == {"good"} or len(sides) == 2 and near == "near-good" else "bad"
-        if b.main is not None and first[i] == "near-good":
-            labels[i] = "good"
-    before, after = nearest(labels, decided)
+            labels[i] = "good" if sides == {"good"} or len(sides) == 2 and (b.main is not None or near == "near-good") else "bad"
+    before, after = around(labels, decided)
     for i in range(n):
         if labels[i] == "near-good":
             labels[i] = "bad" if before[i] == after[i] == "bad" else "good"
@@ -276,7 +309,7 @@ def classify(found: list[Block]) -> None:
         if b.heading and labels[i] == "bad" and first[i] != "bad":
             reach, j = 0, i + 1
             while j < n and reach <= HEADING_REACH and labels[i] == "bad":
-                if labels[j] == "good":
+                if labels[j] == "good" and found[j].main == b.main:
                     labels[i] = "good"
                 reach += len(found[j].text)
                 j += 1
