@@ -141,13 +141,23 @@ def test_items_without_an_id_are_found(spark):
     assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect()] == [2]
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_joins_without_broadcasts_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, text(20)) for i in range(20)], "item_id long, text string")
     docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("so "), "text", F.lit(" it is")).alias("text"))
-    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 3)
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()) == [(i, i) for i in range(20)]
 
 
+def test_a_phrase_that_many_share_makes_no_candidates(spark):
+    stock = text(9)
+    items = spark.createDataFrame([(i, f"{stock} {text(20)}") for i in range(500)], "item long, text string")
+    whole = [r.text for r in items.where("item < 3").orderBy("item").collect()]
+    docs = spark.createDataFrame([(i, f"{text(30)} {stock} {text(30)}") for i in range(60)] + [(100 + i, f"{text(400)} {w} {text(9)}") for i, w in enumerate(whole)], "doc_id long, text string")
+    found = decontaminate.candidates(docs, decontaminate.signatures(items)).collect()
+    assert sorted((r.doc_id, r.item) for r in found) == [(100, 0), (101, 1), (102, 2)]
+
+
 def brute_repeats(texts, size=200):
     count = Counter(b[i : i + size] for b in texts for i in range(len(b) - size + 1))
     out = []

@@ -1,13 +1,16 @@
 """BPE, language, chats, pages, licences and pseudonyms against brute force and edge cases."""
 
+import datetime
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -342,6 +345,86 @@ def test_sentences_over_lines_end_with_their_paragraph():
     assert scanner.scan("Released under\n" * 50_000 + "the MIT License.") == [("mit-notice", "MIT", 49_999, 1)]
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("this module is not licensed under the MIT License.", []),
+        ("It isn't released under the MIT License. Nor is it\nlicensed under CC BY 4.0.", []),
+        ("No, our code, unlike theirs, is of course and always Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND BSD-3-Clause) */", ["BSD-3-Clause", "GPL-2.0-only WITH Classpath-exception-2.0"]),
+        ("SPDX-License-Identifier: MIT OR", []),
+        ("SPDX-License-Identifier: see the file", []),
+        ("SPDX-License-Identifier: NOASSERTION\nReleased under the MIT License.", ["MIT"]),
+        ("# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: MIT\nx", ["MIT"]),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", ["GPL-3.0-only"]),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", ["LGPL-3.0-only"]),
+        ("GNU General Public License\nof some other version", []),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", ["Apache-2.0"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.", ["ISC"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ["0BSD"]),
+    ],
+)
+def test_negations_expressions_and_other_licences(text, want):
+    assert sorted({x[1] for x in licenses.Scanner().scan(text)}) == want
+
+
+def _naive_scan(text):
+    """Known sentences by trying every run of pieces, rules by trying every place."""
+    scanner = licenses.Scanner()
+    pieces = list(scanner._pieces(text))
+    at = {}
+    for i in range(len(pieces)):
+        best = {}
+        for j in range(i, -1, -1):
+            if j < i and not pieces[j + 1][1]:
+                break
+            run = [p[0] for p in pieces[j : i + 1]]
+            for k in scanner.known:
+                for known in ((run[0].split()[x:], x) for x in range(len(run[0].split()))):
+                    if " ".join([" ".join(known[0]), *run[1:]]) == k:
+                        if not (known[1] or j and pieces[j][1]) or not licenses._negated(" ".join([*(p[0] for p in pieces[max(0, j - 5) : j] if pieces[j][1]), *run[0].split()[: known[1]]])):
+                            best[len(k)] = (j, k)
+        single = [v for v in best.values() if v[0] == i]
+        for j, k in ([max(single, key=lambda v: len(v[1]))] if single else []) + ([best[max(best)]] if best and best[max(best)][0] < i else []):
+            at.setdefault(j, []).append((i, k))
+    taken, out = set(), {}
+    for rule, sequences in scanner.sequences.items():
+        for sequence in sequences:
+            for start in range(len(pieces)):
+                ends = {start - 1}
+                spans = []
+                for name in sequence:
+                    step = sorted(((last, s) for s in [e + 1 for e in ends] for last, k in at.get(s, []) if name in scanner.known[k] and not taken & set(range(s, last + 1))), reverse=True)
+                    if not step:
+                        break
+                    spans.append(step[0])
+                    ends = {step[0][0]}
+                else:
+                    taken |= set(range(start, spans[-1][0] + 1))
+                    out.setdefault(rule, []).append(start)
+    return sorted((r, scanner.licence[r], min(x), len(x)) for r, x in out.items())
+
+
+def test_scans_equal_brute_force():
+    rng = random.Random(11)
+    known = [t for ts in licenses.SENTENCES.values() for t in ts if len(t) < 160]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            t = rng.choice(known)
+            kind = rng.random()
+            if kind < 0.3:
+                t = re.sub(" ", lambda m: rng.choice([" ", " ", "\n"]), t)
+            elif kind < 0.5:
+                t = rng.choice(["It is ", "It is not ", "It isn't\n", "We never say: ", "x "]) + t
+            elif kind < 0.7:
+                t = "Some other words stand here."
+            parts.append(t)
+        text = rng.choice(["\n", "\n\n", " "]).join(parts)
+        assert sorted(licenses.Scanner().scan(text)) == _naive_scan(text), text
+
+
 def _luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(digits[::-1])) % 10 == 0
 
@@ -379,13 +462,145 @@ def test_pseudonyms(spark):
     ip = re.fullmatch(r"ip ([\d.]+)\. and 300\.1\.1\.1", got[3])
     assert [int(x) for x in ip[1].split(".")] == _own_feistel([42, 144, 35, 254], [256] * 4, "ip", "k-1")
     assert re.fullmatch(r"password=[0-9a-f]{18} token = \"[0-9a-f]{40}\" x", got[4]) and "e3b3" not in got[4]
-    dates = re.fullmatch(r"(\d{4})-(\d\d)-(\d\d), (\d\d)/(\d\d)/(\d{4}), (\d\d)/(\d\d)/\d{4} 31\.(\d\d)\.\d{4} (\d{4})-02-29 2021-02-29", got[5])
-    assert dates and (dates[1], dates[2], dates[3]) == (dates[6], dates[5], dates[4]) and int(dates[8]) > 12 and int(dates[9]) in (1, 3, 5, 7, 8, 10, 12) and int(dates[10]) % 4 == 0
+    dates = re.fullmatch(r"(\d{4})-(\d\d)-(\d\d), (\d\d)/(\d\d)/(\d{4}), (\d\d)/(\d\d)/\d{4} (29|3[01])\.\d\d\.\d{4} (\d{4})-02-29 2021-02-29", got[5])
+    assert dates and (dates[1], dates[2], dates[3]) == (dates[6], dates[5], dates[4]) and int(dates[8]) > 12 and int(dates[10]) % 4 == 0
     assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4} 000-12-3456", got[6]) and "123-45-6789" not in got[6]
     assert [r.text for r in pii.pseudonymise(df, "k-2").orderBy("doc_id").collect()] != got
     assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
+def _own_letters(kind, key, v, may_be_hex=True):
+    hexed = may_be_hex and re.fullmatch("[0-9a-f]{8,}", v)
+    alphabets = ["0123456789abcdef" if hexed else next((a for a in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in a), c) for c in v]
+    moved = _own_feistel([a.index(c) for a, c in zip(alphabets, v)], [len(a) for a in alphabets], kind, key)
+    return "".join(a[i] for a, i in zip(alphabets, moved))
+
+
+def _own_refilled(m, digits):
+    it = iter(digits)
+    return "".join(str(next(it)) if c in string.digits else c for c in m)
+
+
+def _own_date(d, mo, y, key):
+    try:
+        datetime.date(y, mo, d)
+    except ValueError:
+        return None
+    if not 1900 <= y <= 2099:
+        return None
+    if (d, mo) == (29, 2):
+        return 29, 2, 1904 + 4 * _own_feistel([(y - 1904) // 4], [49], "date-leap", key)[0]
+    if d > 28:
+        ends = [(x, n) for x in (29, 30, 31) for n in range(1, 13) if n != 2 and (x < 31 or n in (1, 3, 5, 7, 8, 10, 12))]
+        i, y = _own_feistel([ends.index((d, mo)), y - 1900], [29, 200], "date-end", key)
+        return *ends[i], y + 1900
+    low, n = (1, 12) if d <= 12 else (13, 16)
+    a, b, c = _own_feistel([d - low, mo - 1, y - 1900], [n, 12, 200], "date", key)
+    return a + low, b + 1, c + 1900
+
+
+MONTHS = [datetime.date(2000, i, 1).strftime("%B") for i in range(1, 13)]
+
+
+def _own_pseudonym(m, key):
+    """Of one match, kind by kind and by other means than the SQL's."""
+    kind = next(k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, m, regex.ASCII))
+    digits = [int(c) for c in m if c in string.digits]
+    if kind == "secret":
+        head = regex.match(f"(?i:{pii._SECRET_HEAD})", m)[0]
+        return head + _own_letters(kind, key, m[len(head) :])
+    if kind == "email":
+        name, domain = m.split("@")
+        return f"{_own_letters(kind, key, name.lower())}@{domain}"
+    if kind == "ip":
+        octets = [int(x) for x in m.split(".")]
+        return ".".join(map(str, _own_feistel(octets, [256] * 4, kind, key))) if max(octets) < 256 else m
+    if kind == "ip6":
+        return ":".join(f"{x:x}" for x in _own_feistel([int(x, 16) for x in m.split(":")], [65536] * 8, kind, key))
+    if kind == "iban":
+        w = m.replace(" ", "")
+        rest = lambda t: int("".join(str(int(c, 36)) for c in t)) % 97
+        if rest(w[4:] + w[:4]) != 1:
+            return m
+        account = _own_letters(kind, key, w[4:], False)
+        new = iter(f"{w[:2]}{98 - rest(account + w[:2] + '00'):02d}{account}")
+        return "".join(c if c == " " else next(new) for c in m)
+    if kind == "ssn":
+        valid = [(a, g, n) for a, g, n in [(digits[0] * 100 + digits[1] * 10 + digits[2], digits[3] * 10 + digits[4], int(m[-4:]))] if a in AREAS and g and n]
+        if not valid:
+            return m
+        a, g, n = valid[0]
+        a, g, n = _own_feistel([AREAS.index(a), g - 1, n - 1], [898, 99, 9999], kind, key)
+        return f"{AREAS[a]:03d}-{g + 1:02d}-{n + 1:04d}"
+    if kind == "phone":
+        if not 8 <= len(digits) <= 15:
+            return m
+        last = digits[-10:]
+        lead = (0, 3) if len(last) == 10 else ()
+        free = bool(lead) and all(last[i] > 1 for i in lead)
+        moved = _own_feistel([(x - 2 if free else 0) if i in lead else x for i, x in enumerate(last)], [(8 if free else 1) if i in lead else 10 for i in range(len(last))], kind, key)
+        return _own_refilled(m, digits[: -len(last)] + [(x + 2 if free else last[i]) if i in lead else x for i, x in enumerate(moved)])
+    if kind == "card":
+        if not _luhn("".join(map(str, digits))):
+            return m
+        new = _own_feistel(digits[:-1], [10] * (len(digits) - 1), kind, key)
+        return _own_refilled(m, new + [next(c for c in range(10) if _luhn("".join(map(str, [*new, c]))))])
+    numbers, name = [int(x) for x in re.findall(r"\d+", m)], (re.findall("[A-Za-z]+", m) or [""])[0]
+    if name:
+        long = name if len(name) > 3 or name.lower() == "may" else None
+        (d, y), mo = numbers, [x[:3].lower() for x in MONTHS].index(name[:3].lower()) + 1
+        new = _own_date(d, mo, y, key)
+        if not new:
+            return m
+        text = MONTHS[new[1] - 1] if long else MONTHS[new[1] - 1][:3]
+        text = text.upper() if name.isupper() else text.lower() if name.islower() else text
+        day = f"{new[0]:02d}" if re.search(r"\b0\d\b", m) else str(new[0])
+        return f"{day} {text} {new[2]}" if m[0].isdigit() else f"{text} {day}, {new[2]}"
+    iso = len(m.split("-")[0]) == 4
+    d, mo, y = numbers[::-1] if iso else numbers
+    swap = not iso and d <= 12 < mo
+    new = _own_date(*((mo, d) if swap else (d, mo)), y, key)
+    if not new:
+        return m
+    if iso:
+        return f"{new[2]}-{new[1]:02d}-{new[0]:02d}"
+    pair = (new[1], new[0]) if swap else new[:2]
+    sep, width = re.search("[/.]", m)[0], 2 if re.match(r"\d\d[/.]\d\d[/.]", m) else 1
+    return sep.join([*(f"{x:0{width}d}" for x in pair), str(new[2])])
+
+
+AREAS = [x for x in range(1, 900) if x != 666]
+NUMBERS = [
+    "2020-06-25, 06/25/2020, 25/06/2020, 25.6.2020; 25 June 2020 or June 25, 2020, 25 JUN 2020, jun 25, 2020, at 2020-06-25T10:00Z.",
+    "31/12/1999 30.11.2001 1900-01-29 2099-03-30 02/29/2000 29 February 1996 Feb 30, 2001 05 May 2011 may 09, 1950 13.13.2013 2020-6-25 1/2/2003",
+    "DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 NL91ABNA0417164300 DE00 3704 0044 0532 0130 00 FR1420041010050500013M02606",
+    "2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80:0:0:0:AB:cd:ef:1, aa:bb:cc:dd:ee:ff 12:30:45",
+    "+44 20 7946 0958, (020) 7946 0958 and 415-555-2671 +1.415.555.2671 123-456-7890",
+    "078-05-1120 666-12-1234 899-99-9999 900-01-0001 5500 0000 0000 0004 378282246310005 3782 822463 10005 4111111111111112",
+    "api_key: 'AbC-12.xY_9' secret=deadbeef00 Password = 123456 a.b+c@x.org A@b.co 1.2.3.4 256.1.1.1 é12é Ä1.2.3.4",
+]
+
+
+def test_whole_texts_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    df = docs.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(NUMBERS)], "doc_id long, text string"))
+    every = regex.compile(pii._all_kinds(), regex.ASCII)
+    changed = 0
+    for r in pii.pseudonymise(df.withColumnRenamed("text", "was").withColumn("text", F.col("was")), "k-3").collect():
+        assert r.text == (None if r.was is None else every.sub(lambda m: _own_pseudonym(m[0], "k-3"), r.was))
+        changed += r.text != r.was
+    assert changed >= len(NUMBERS)
+
+
+def test_a_date_has_one_pseudonym_in_all_forms(spark):
+    for m, d in ((6, 25), (6, 5), (12, 31), (2, 29), (5, 12)):
+        texts = [f"2020-{m:02d}-{d:02d}", f"2020-{m:02d}-{d:02d}T10:00:00Z", f"{d:02d}/{m:02d}/2020", f"{d}.{m}.2020", f"{d} {MONTHS[m - 1]} 2020", f"{MONTHS[m - 1][:3]} {d}, 2020"] + ([f"{m:02d}/{d:02d}/2020"] if d > 12 else [])
+        got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()]
+        year, month, day = map(int, got[0].split("-"))
+        name, w = MONTHS[month - 1], 2 if d > 9 and m > 9 else 1
+        assert got == [got[0], f"{got[0]}T10:00:00Z", f"{day:02d}/{month:02d}/{year}", f"{day:0{w}d}.{month:0{w}d}.{year}", f"{day} {name} {year}", f"{name[:3]} {day}, {year}"] + ([f"{month:02d}/{day:02d}/{year}"] if d > 12 else [])
+
+
 def test_secrets_of_any_length_are_hidden_whole(spark):
     rng = random.Random(3)
     values = ["".join(rng.choices("ABCDEFabcdef0123456789_-.", k=n)) for n in (6, 119, 120, 121, 300, 5000)] + ["0123456789abcdef" * 20]

@@ -2,20 +2,26 @@
 
 Size-partitioned MinHash containment search, in DataFrame functions alone. Items are partitioned by
 size, that is their number of distinct shingles, in powers of two. An item's signature are its k
-smallest shingle hashes (bottom-k MinHash), k fixed for the partition: above (1 - threshold) of the
-largest size in it. A document that holds the wanted share of an item lacks fewer of its shingles
-than the signature has members, so it holds one of them: the search misses nothing, however long
-the document. Documents smaller than the wanted share of a partition's smallest item aren't probed
-with it. Candidates are verified by the exact share of the item's shingles, compared as strings.
+smallest shingle hashes (bottom-k MinHash), k fixed for the partition: EXTRA + 1 above what a document
+may lack of the largest size in it. A document that holds the wanted share of an item lacks only so
+many of its shingles, so of the signature it holds EXTRA + 1 members at least, however long the
+document: the search misses nothing. Documents that hold fewer aren't candidates, so a phrase that many
+items and documents share yields none. Documents smaller than the wanted share of a partition's
+smallest item aren't probed with it. Candidates are verified by the exact share of the item's
+shingles, compared as strings. Documents carry no signatures: of a long one, a bounded sample
+of shingles rarely holds one of a short item's.
 
 Words are maximal runs of letters and digits in lower case. Items of fewer than WORDS words are one
 shingle of all their words and are sought among the documents' shingles of that width.
 
-Signatures are broadcast in blocks of at most BLOCK_ROWS rows, so any number of items can be sought;
-blocks are a scan each.
+Signatures are broadcast if there are at most BROADCAST_ROWS, else joined by a shuffle on the hash; so
+are candidates, and items if their texts have at most BROADCAST_BYTES. Texts are read again for the
+candidates only.
 
 Defined results: items without words match nothing, null texts hold nothing; one row for each
-doc_id and item_id whatever rows repeat (the largest share of equal ids, null ids among them).
+doc_id and item_id whatever rows repeat (the largest share of equal ids, null ids among them); empty
+tables give empty results; texts of any length are searched whole; ties don't occur; columns besides
+doc_id, item_id and text aren't read, and decontaminated() keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +29,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 THRESHOLD = 0.8
 WORDS = 5
-#: Rows of signatures that are broadcast at once: 16 bytes each.
-BLOCK_ROWS = 500_000
+#: Members of a signature that a document must hold beyond the first.
+EXTRA = 3
+#: What may be broadcast: rows of signatures or candidates, some 40 bytes each, and bytes of items' texts.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -52,10 +63,6 @@ def shingles(words_: Column, width: int) -> Column:
     return F.transform(_starts(words_, width), lambda i: F.array_join(F.slice(words_, i + 1, width), " "))
 
 
-def _shingles_of(width: int):
-    return lambda words_: shingles(words_, width)
-
-
 def _by_width(words_: Column, width: Column, widest: int, make) -> Column:
     """make(words, width) for a width that differs from row to row."""
     out = make(words_, widest)
@@ -64,47 +71,65 @@ def _by_width(words_: Column, width: Column, widest: int, make) -> Column:
     return out
 
 
-def signatures(items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
-    """item_id, width, size, least_size, h: the bottom-k signature of each item, a row per hash."""
+def signatures(items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, extra: int = EXTRA) -> DataFrame:
+    """item, width, size, least_size, need, h: the bottom-k signature of each item(item, text), a row per
+    hash; need is how many of its members a document that fits holds."""
     by_item = _let(words(F.col("text")), lambda w: F.struct(F.least(F.size(w), F.lit(width)).alias("width"), F.array_sort(F.array_distinct(_by_width(w, F.least(F.size(w), F.lit(width)), width, hashes))).alias("h")))
-    cut = items.select("item_id", by_item.alias("x")).select("item_id", "x.width", "x.h").where(F.size("h") > 0)
+    cut = items.select("item", by_item.alias("x")).select("item", "x.width", "x.h").where(F.size("h") > 0)
     cut = cut.withColumn("size", F.size("h"))
     lower = F.pow(F.lit(2), F.floor(F.log2(F.col("size")))).cast("int")
-    keep = F.floor(F.lit(1 - threshold) * (2 * lower - 1) + F.lit(1e-9)).cast("int") + 1
-    return cut.select("item_id", "width", "size", F.ceil(F.lit(threshold) * lower - F.lit(1e-9)).cast("int").alias("least_size"), F.explode(F.slice("h", 1, keep)).alias("h"))
+    lacking = lambda size: F.floor(F.lit(1 - threshold) * size + F.lit(1e-9)).cast("int")
+    cut = cut.withColumn("h", F.slice("h", 1, lacking(2 * lower - 1) + 1 + extra))
+    need = F.greatest(F.lit(1), F.size("h") - lacking(F.col("size")))
+    return cut.select("item", "width", "size", F.ceil(F.lit(threshold) * lower - F.lit(1e-9)).cast("int").alias("least_size"), need.alias("need"), F.explode("h").alias("h"))
 
 
-def _contained(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
-    """doc_id, t1 (hash of the text), item_id, n_shingles, n_found of every document and item that fit."""
-    signed = signatures(items, threshold, width)
-    stats = signed.groupBy("width").count().collect()  # a row for each of at most `width` widths
-    blocks = max(1, -(-sum(r["count"] for r in stats) // BLOCK_ROWS))
-    texts = docs.select("doc_id", "text").withColumn("w", words(F.col("text")))
-    item_words = items.select(F.col("item_id").alias("_words_of"), words(F.col("text")).alias("iw"))
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it's known to be small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def candidates(docs: DataFrame, signed: DataFrame, width: int = WORDS) -> DataFrame:
+    """doc_id, t1 (hash of the text), item of documents that hold as many members as they need."""
+    stats = {r["width"]: r["count"] for r in signed.groupBy("width").count().collect()}  # at most `width` rows
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t1"), words(F.col("text")).alias("w"))
     out = None
-    for r in sorted(stats, key=lambda r: r["width"]):
-        w = r["width"]
-        probed = texts.select("doc_id", "text", F.size("w").alias("n"), F.explode(hashes(F.col("w"), w)).alias("h"))
-        for block in range(blocks):
-            part = signed.where((F.col("width") == w) & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)).select("item_id", "least_size", "h")
-            near = probed.join(F.broadcast(part), "h").where(F.col("n") - (w - 1) >= F.col("least_size"))
-            near = near.select("doc_id", "text", "item_id").distinct()
-            near = near.join(item_words, near["item_id"].eqNullSafe(item_words["_words_of"])).drop("_words_of")
-            mine = F.array_distinct(shingles(F.col("iw"), w))
-            theirs = _let(words(F.col("text")), _shingles_of(w))
-            near = near.withColumn("found", F.size(F.array_intersect(mine, theirs))).withColumn("n_shingles", F.size(mine))
-            near = near.where(F.col("found") >= F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9))
-            near = near.select("doc_id", F.xxhash64("text").alias("t1"), "item_id", "n_shingles", F.col("found").alias("n_found"))
-            out = near if out is None else out.union(near)
+    for w in sorted(stats):
+        probed = texts.select("doc_id", "t1", F.size("w").alias("n"), F.explode(F.array_distinct(hashes(F.col("w"), w))).alias("h"))
+        part = _small(signed.where(F.col("width") == w).select("item", "least_size", "need", "h"), stats[w])
+        near = probed.join(part, "h").where(F.col("n") - (w - 1) >= F.col("least_size"))
+        # all shingles of a row are in one task, so the counts are made before the shuffle
+        near = near.groupBy("doc_id", "t1", "item").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need").drop("held", "need")
+        out = near if out is None else out.union(near)
     if out is None:
-        kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 long, item_id {items.schema['item_id'].dataType.simpleString()}, n_shingles int, n_found int"
-        out = docs.sparkSession.createDataFrame([], kinds)
+        out = docs.select("doc_id", F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("item")).limit(0)
     return out
 
 
+def _contained(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
+    """doc_id, t1, item (hash of its text), n_shingles, n_found of every document and item that fit."""
+    scratch = Scratch(docs.sparkSession)
+    items = scratch.write(items.select(F.xxhash64("text").alias("item"), "text").distinct())
+    signed = scratch.write(signatures(items, threshold, width))
+    found = scratch.write(candidates(docs, signed, width))
+    # the shingles of each item, made once
+    parts = _let(words(F.col("text")), lambda w: F.struct(F.least(F.size(w), F.lit(width)).alias("width"), F.array_distinct(_by_width(w, F.least(F.size(w), F.lit(width)), width, shingles)).alias("mine")))
+    held = items.select("item", parts.alias("x")).select("item", "x.width", "x.mine")
+    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        held = F.broadcast(held)
+    found_rows = _small(found.select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), "item"), found.count())
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t1"), "text")
+    near = texts.join(found_rows, texts["doc_id"].eqNullSafe(found_rows["_doc"]) & (texts["t1"] == found_rows["_t1"])).select("doc_id", "t1", "text", "item").join(held, "item")
+    theirs = _let(words(F.col("text")), lambda w: _by_width(w, F.col("width"), width, shingles))
+    near = near.select("doc_id", "t1", "item", F.size("mine").alias("n_shingles"), F.size(F.array_intersect("mine", theirs)).alias("n_found"))
+    return near.where(F.col("n_found") >= F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found, containment."""
-    best = _contained(docs, items, threshold, width).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", "n_shingles")).alias("m"))
+    ids = items.select(F.xxhash64("text").alias("item"), "item_id").distinct()
+    named = _contained(docs, items, threshold, width).join(ids, "item")
+    best = named.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", "n_shingles")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.n_shingles").cast("long").alias("n_shingles"), F.col("m.n_found").cast("long").alias("n_found"), (F.col("m.n_found") / F.col("m.n_shingles")).alias("containment"))
 
 
