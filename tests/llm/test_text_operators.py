@@ -192,6 +192,14 @@ def test_phrases_of_rare_letters_equal_brute_force(monkeypatch):
         assert counts.tolist() == [[_phrases(t, samples[lang][0]) for t in texts] for lang in m.langs]
 
 
+def test_texts_that_change_language_are_kept(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and n_chars between 600 and 3000")
+    parts = {r.lang: r.texts for r in df.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list("text")), 1, 8).alias("texts")).collect()}
+    mixed = [f"{a} {b}" for x in parts for y in parts if x < y for a, b in zip(parts[x], parts[y])]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(mixed)], "doc_id long, text string, lang string")
+    assert len(mixed) >= 40 and langid.accepted(docs, langid.fit(df)).count() == len(mixed)
+
+
 def test_accuracy_on_rows_that_were_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(df, langid.fit(df)).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")

@@ -34,9 +34,10 @@ from .common import slices, utf8_buffer
 #: The bound of the labelled sample: rows per language, and letters per language.
 SAMPLE_ROWS = 40
 SAMPLE_LETTERS = 30_000
-#: Letters that are parsed side by side with those of other blocks, and how often a second parse looks
-#: whether it has met the first. Neither changes a result.
+#: Letters that are parsed side by side with those of other blocks. Phrases and languages don't depend on
+#: it; of texts that change language, accepted() takes each block in its nearest.
 BLOCK = 256
+#: How often a second parse looks whether it has met the first.
 _MEET = 16
 #: Letters, the commonest, that have a column in the table of transitions. Those by all others are
 #: looked up by state and letter, so alphabets of any size are told apart.
@@ -207,11 +208,11 @@ class Model:
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text under each language, and letters of each text."""
-        counts, letters, _ = self._parsed(data, offsets)
-        return counts, letters
+        return self._parsed(data, offsets)[:2]
 
-    def _parsed(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As phrases(), and how many letters of each text each language's sample lacks."""
+    def _parsed(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As phrases(); how many letters of each text each language's sample lacks; and the bits of each
+        text if each block is in its nearest language."""
         if len(offsets) == 2 and len(data) > _SLICE_BYTES:
             cuts = np.arange(0, len(data), _SLICE_BYTES)
             while (inside := (data[cuts] & 0xC0) == 0x80).any():
@@ -251,10 +252,7 @@ class Model:
         if total == 0 or not n_langs:
             if carried and ends:
                 counts += (carried[0] != self.root)[:, None]
-            return (counts, letters, lacking), carried
-        if np.ptp(self.bits):  # else they cost what other phrases cost
-            for i in range(n_langs):
-                lacking[i] = np.diff(np.r_[0, np.cumsum(self.lacks[i][codes])][kept_at])
+            return (counts, letters, lacking, np.zeros(n)), carried
         within = np.arange(total) - np.r_[0, np.cumsum(blocks)][:-1][owner]
         begin = kept_at[:-1][owner] + within * BLOCK
         size = np.minimum(BLOCK, lens[owner] - within * BLOCK)
@@ -290,9 +288,14 @@ class Model:
             changed = np.unique(block[state[lang, block] != before])
         last = (after < 0) & ends
         count += (state != root) & last
+        cost = count * self.bits[:, None]
         for i in range(n_langs):
             counts[i] = np.bincount(owner, count[i], n)
-        return (counts, letters, lacking), (state[:, np.flatnonzero(after < 0)[-1]], bool(space[-1]))
+            if np.ptp(self.bits):  # else they cost what other phrases cost
+                lacks = np.r_[0, np.cumsum(self.lacks[i][codes])]
+                lacking[i] = np.diff(lacks[kept_at])
+                cost[i] += (lacks[begin + size] - lacks[begin]) * (self.bits.max() - self.bits[i])
+        return (counts, letters, lacking, np.bincount(owner, cost.min(0), n)), (state[:, np.flatnonzero(after < 0)[-1]], bool(space[-1]))
 
     def _parse_again(self, lang, block, now, begin, size, codes, state, count, met, any_rare) -> None:
         """Parses blocks under languages from other states, up to where the parse meets the one before."""
@@ -317,12 +320,12 @@ class Model:
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """For each text: the language, a score from 0 to 1, the entropy estimate in bits a letter, and
-        whether that is within what texts in the language have.
+        whether it is, block by block in the nearest language, within what texts in the language have.
 
         The score is 1 less the ratio of the best estimate to the second best's, or to one phrase
         a letter where only one language is known.
         """
-        counts, letters, lacking = self._parsed(data, offsets)
+        counts, letters, lacking, mixed = self._parsed(data, offsets)
         if not self.langs:
             return [UNKNOWN] * len(letters), np.zeros(len(letters)), np.zeros(len(letters)), np.zeros(len(letters), bool)
         cost = counts * self.bits[:, None] + lacking * (self.bits.max() - self.bits)[:, None]
@@ -334,7 +337,9 @@ class Model:
             # without the last phrase, which the end of the text cuts off
             rate = np.nan_to_num(np.maximum(0, ordered[0] - self.bits[best]) / letters)
             limit, bits = self.limits[best], self.bits[best]
-            known = ~(rate > np.minimum(limit + DEVIATIONS * np.sqrt(limit * bits / letters), (limit + bits) / 2))
+            # texts that change between known languages are in a known language
+            least = np.nan_to_num(np.maximum(0, mixed - bits) / letters)
+            known = ~(least > np.minimum(limit + DEVIATIONS * np.sqrt(limit * bits / letters), (limit + bits) / 2))
         none = letters == 0
         score[none], rate[none] = 0, 0
         return [UNKNOWN if x else self.langs[b] for x, b in zip(none, best)], score, rate, known & ~none
@@ -395,8 +400,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all their columns, whose text is in some known language; a null lang
-    becomes the predicted one. Texts without a letter go, and texts whose estimate is above what
-    the sample of their nearest language shows of its own texts; short texts have more room."""
+    becomes the predicted one. Texts without a letter go, and texts whose blocks, each in its nearest
+    language, cost more than the sample of the text's language shows of its own; short texts have more room."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
