@@ -202,3 +202,92 @@ def test_produce_and_lookups(log):
         with pytest.raises(errors.InvalidRequest):
             bad()
     assert (log.list_offset("t", 0, -2), log.list_offset("t", 0, -1)) == (0, 5)
+
+
+@pytest.mark.parametrize("expires", [False, True])
+def test_collection_does_not_take_what_an_append_publishes(spark, log, expires):
+    """Between an append's write and its commit all is collected that no revision names."""
+    log.create_topic("t")
+    log.append("t", 0, rows("old"))
+    other = EventLog(spark, log.root, now_ms=lambda: 10_000)
+    write, done = log._write, []
+
+    def slow(folder, df):
+        name = write(folder, df)
+        if not done:
+            done.append(other.maintain("t", 0, max_bytes=0 if expires else None, apply=True))
+        return name
+
+    log._write = slow
+    r = log.append("t", 0, rows("new"))
+    assert done[0]["published"] and done[0]["deleted_objects"] == 1 + expires and done[0]["expired_batches"] == expires
+    assert r.base_offset == 1 and values(log.fetch("t", 0, 1, verify=True)) == ["new"]
+    assert other.maintain("t", 0)["orphan_objects"] == 0
+
+
+def test_reads_start_again_if_their_segments_are_collected(spark, log):
+    log.create_topic("t")
+    for v in "abc":
+        log.append("t", 0, rows(v))
+    size = log.root_of("t", 0).segments[0].byte_length
+    scan, done = log._scan, []
+
+    def slow(folder, segments, offset):
+        if not done:
+            done.append(EventLog(spark, log.root).maintain("t", 0, max_bytes=size, apply=True))
+        return scan(folder, segments, offset)
+
+    log._scan = slow
+    with pytest.raises(errors.OffsetOutOfRange):
+        log.fetch("t", 0, 0)
+    done.clear()
+    log.append("t", 0, rows("d"))
+    assert log.offsets("t", 0) == (2, 4) and values(log.fetch("t", 0, 3)) == ["d"]
+    gone = log.root_of("t", 0).segments[-1].object
+    log.store.delete(f"topics/t/0/{gone}")
+    with pytest.raises(errors.CorruptMessage):
+        log.fetch("t", 0, 3)
+
+
+def test_reads_hold_content_against_its_digest(spark, log):
+    log.create_topic("t")
+    log.append("t", 0, rows("a"))
+    log.append("t", 0, rows("b"))
+    first, second = (f"topics/t/0/{s.object}" for s in log.root_of("t", 0).segments)
+    assert values(log.fetch("t", 0, 0, verify=True)) == ["a", "b"]
+    import shutil
+
+    log.store.delete(second)
+    shutil.copytree(f"{log.root}/{first}", f"{log.root}/{second}")
+    with pytest.raises(errors.CorruptMessage):
+        log.fetch("t", 0, 0, verify=True)
+    assert values(log.fetch("t", 0, 0)) == ["a", "a"]
+
+
+def test_what_is_stored_is_what_was_measured(spark, log):
+    log.create_topic("t")
+    df = spark.range(20).selectExpr("cast(cast(rand() as string) as binary) as value")
+    assert log.append("t", 0, df).last_offset == 19
+    assert log.verify_segments("t", 0).where("ok").count() == 1
+
+
+def test_conditional_puts_are_refused_where_they_are_not_known(spark, tmp_path):
+    from tidelog.sources.store import S3Store
+
+    with pytest.raises(Exception, match="conditional"):
+        S3Store(spark, f"file://{tmp_path}").put_if_absent("a", b"x")
+
+
+def test_imports_keep_within_the_limits(log, tmp_path, monkeypatch):
+    from tidelog.functions.codec import encode_batch
+    from tidelog.sources import importer, requests
+
+    made = [{"timestamp_ms": i, "key": None, "value": bytes([65 + i]) * 500, "headers": []} for i in range(12)]
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a").write_bytes(encode_batch(made, 1000))
+    monkeypatch.setattr(requests, "REQUEST_BYTES", 1500)
+    monkeypatch.setattr(requests.limits, "REQUEST_RECORDS", 5)
+    log.create_topic("t")
+    got = importer.import_batches(log, "t", 0, str(tmp_path / "files"))
+    assert got[-1].last_offset == 11 and len(got) >= 4
+    assert [v[0] for v in values(log.fetch("t", 0, 0))] == [chr(65 + i) for i in range(12)]

@@ -22,6 +22,34 @@ def test_sink_is_exactly_once(spark, tmp_path):
     assert [bytes(r.value) for r in log.fetch("t", 0, 0).orderBy("offset").collect()] == [b"0", b"1", b"2", b"1"]
 
 
+def test_large_micro_batches_are_cut_and_go_on_where_they_stopped(spark, tmp_path, monkeypatch):
+    from tidelog.sources import requests
+
+    monkeypatch.setattr(requests, "REQUEST_BYTES", 300)
+    log = EventLog(spark, str(tmp_path / "log"))
+    log.create_topic("t")
+    sink = LogSink(log, "t", 0, log.allocate_producer_id(), ["id"])
+    batch = spark.range(40).selectExpr("id", "id as timestamp_ms", "cast(format_string('%02d', id) as binary) as value")
+    append, calls = log.append_batches, []
+
+    def failing(*a):
+        calls.append(a)
+        if len(calls) == 8:
+            raise RuntimeError("the driver is lost")
+        return append(*a)
+
+    log.append_batches = failing
+    try:
+        sink(batch, 0)
+    except RuntimeError:
+        pass
+    sink(batch, 0)
+    sink(batch, 0)
+    sink(batch.where("id < 2"), 1)
+    assert [bytes(r.value).decode() for r in log.fetch("t", 0, 0).orderBy("offset").collect()] == [f"{i:02d}" for i in [*range(40), 0, 1]]
+    assert len(log.root_of("t", 0).segments) > 8
+
+
 def test_source_goes_on_where_it_left_off(spark, tmp_path):
     spark.dataSource.register(TidelogSource)
     root = str(tmp_path / "log")

@@ -13,6 +13,17 @@ def valid_name(name: Column) -> Column:
     return F.coalesce(name.rlike(f"^[A-Za-z0-9._-]{{1,{NAME_BYTES}}}$") & ~name.isin(".", ".."), F.lit(False))
 
 
+def valid_prefix(name: Column) -> Column:
+    """Whether stored keys may begin so: nothing, or names parted by single slashes."""
+    parts = F.split(name, "/")
+    return F.coalesce((name == "") | F.forall(parts, lambda p: p.rlike("^[A-Za-z0-9._-]+$") & ~p.isin(".", "..")), F.lit(False))
+
+
+def valid_host(name: Column) -> Column:
+    """Whether clients may be told this host: 1 to 255 characters without white space or slashes."""
+    return F.coalesce(F.length(name).between(1, 255) & ~name.rlike(r"[\s/]"), F.lit(False))
+
+
 def next_sequence(sequence: Column, count: Column) -> Column:
     """The sequence after a batch: modulo 2^31."""
     return F.pmod(sequence.cast("long") + count.cast("long"), F.lit(SEQUENCE_RANGE))

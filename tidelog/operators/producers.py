@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..limits import RETRY_WINDOW, SEQUENCE_RANGE
+from ..limits import PAGE_FANOUT, RETRY_WINDOW, SEQUENCE_RANGE
+from .records import assign_offsets
 
 APPENDED, DUPLICATE, OUT_OF_ORDER, FENCED, CONFLICT = "APPENDED", "DUPLICATE", "OUT_OF_ORDER_SEQUENCE_NUMBER", "INVALID_PRODUCER_EPOCH", "CONFLICTING_SEQUENCE"
 
@@ -75,3 +76,16 @@ def last_batches(accepted: DataFrame, keep: int = RETRY_WINDOW) -> DataFrame:
     latest = Window.partitionBy("producer_id").orderBy(F.desc("epoch"), F.desc("arrival"))
     top = accepted.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= keep)
     return top.withColumn("latest", F.max("epoch").over(Window.partitionBy("producer_id"))).where("epoch = latest").drop("latest")
+
+
+def page_rollup(producers: DataFrame, levels: int = 2, fanout: int = PAGE_FANOUT) -> DataFrame:
+    """producers(producer_id, batches) in pages of fanout ids in order, and pages of so many pages: page,
+    level, min_id, max_id, n (producers), batches. Ids are numbered within spans, so none gathers all."""
+    placed = assign_offsets(producers.withColumn("_all", F.lit(0)), ["_all"], ["producer_id"], F.expr("producer_id div 65536"), "place")
+    out, pages = None, placed.select("place", F.col("producer_id").alias("min_id"), F.col("producer_id").alias("max_id"), F.lit(1).cast("long").alias("n"), "batches")
+    for level in range(levels):
+        sums = [F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("n").alias("n"), F.sum("batches").alias("batches")]
+        pages = pages.groupBy(F.expr(f"place div {fanout}").alias("place")).agg(*sums)
+        one = pages.select(F.col("place").alias("page"), F.lit(level).alias("level"), "min_id", "max_id", "n", "batches")
+        out = one if out is None else out.union(one)
+    return out

@@ -23,6 +23,26 @@ def assign_offsets(df: DataFrame, partition: list[str], order: list[str], bucket
     return out.withColumn(name, (F.col("_base") + F.col("_nth") - 1).cast("long")).drop("_bucket", "_n", "_base", "_nth")
 
 
+#: Offsets whose descriptors are summed up by themselves before a partition's sums are put together.
+SPAN = 65_536
+
+
+def running(seg: DataFrame, **values: Column) -> DataFrame:
+    """seg with running sums, each row's value included, along the base offsets of its partition.
+
+    Descriptors are summed within spans of offsets, and the spans' totals before them; so a partition's
+    descriptors never meet in one task, only a row for each of its spans does.
+    """
+    keyed = seg.withColumn("_span", F.expr(f"base_offset div {SPAN}")).withColumns({f"_v_{n}": v for n, v in values.items()})
+    totals = keyed.groupBy("part", "_span").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    before = Window.partitionBy("part").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", "_span", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
+    within = Window.partitionBy("part", "_span").orderBy("base_offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = keyed.withColumns({f"_w_{n}": F.sum(f"_v_{n}").over(within) for n in values}).join(bases, ["part", "_span"])
+    out = out.withColumns({n: F.col(f"_b_{n}") + F.col(f"_w_{n}") for n in values})
+    return out.drop("_span", *[f"_{k}_{n}" for k in "vbw" for n in values])
+
+
 def segments(rec: DataFrame, records: int = 50) -> DataFrame:
     """Descriptors of segments of so many records; byte_length is that of the batch with its header."""
     size = (F.lit(61) + F.sum(F.lit(7) + F.octet_length("props"))).cast("long")
@@ -32,10 +52,8 @@ def segments(rec: DataFrame, records: int = 50) -> DataFrame:
 
 def paged(seg: DataFrame, fanout: int = PAGE_FANOUT) -> DataFrame:
     """Descriptors with their page; sealed tells those in full pages from the last 1 to fanout."""
-    order = Window.partitionBy("part").orderBy("base_offset")
-    n = F.count("*").over(Window.partitionBy("part"))
-    rn = F.row_number().over(order).cast("long")
-    out = seg.withColumn("rn", rn).withColumn("n", n)
+    counts = seg.groupBy("part").agg(F.count("*").alias("n"))
+    out = running(seg, rn=F.lit(1).cast("long")).join(counts, "part")
     return out.withColumn("page", F.expr(f"(rn - 1) div {fanout}")).withColumn("sealed", F.expr(f"rn <= ((n - 1) div {fanout}) * {fanout}")).drop("rn", "n")
 
 
@@ -46,9 +64,8 @@ def offset_ranges(seg: DataFrame) -> DataFrame:
 def bounded(seg: DataFrame, offset: int, max_bytes: int, allow_oversized: bool) -> DataFrame:
     """The segments of a bounded scan from an offset: whole batches while they fit in max_bytes; if
     none fits and allow_oversized is set, the first alone, marked oversized_first_batch."""
-    order = Window.partitionBy("part").orderBy("base_offset")
     live = seg.where(F.col("base_offset") + F.col("record_count") - 1 >= offset)
-    live = live.withColumn("running", F.sum("byte_length").over(order)).withColumn("nth", F.row_number().over(order))
+    live = running(live, running=F.col("byte_length"), nth=F.lit(1).cast("long"))
     fits = F.col("running") <= max_bytes
     first = (F.col("nth") == 1) & F.lit(allow_oversized)
     return live.where(fits | first).withColumn("oversized_first_batch", first & (F.col("byte_length") > max_bytes)).drop("running", "nth")
@@ -64,9 +81,8 @@ def shared_budget(seg: DataFrame, offset: int, max_bytes: int) -> DataFrame:
     """A scan of several partitions in their order under one budget: the first batch of the answer
     may exceed it. The fold runs over one row per partition that holds running sums of batch sizes
     up to the budget only, so its arrays are short however long the partitions are."""
-    order = Window.partitionBy("part").orderBy("base_offset")
     live = seg.where(F.col("base_offset") + F.col("record_count") - 1 >= offset)
-    live = live.withColumn("running", F.sum("byte_length").over(order)).withColumn("nth", F.row_number().over(order))
+    live = running(live, running=F.col("byte_length"), nth=F.lit(1).cast("long"))
     runs = live.where((F.col("running") <= max_bytes) | (F.col("nth") == 1)).groupBy("part").agg(F.sort_array(F.collect_list("running")).alias("runs"))
     parts = runs.agg(F.sort_array(F.collect_list(F.struct("part", "runs"))).alias("parts"))
     step = """
@@ -91,9 +107,13 @@ def locate(requests: DataFrame, seg: DataFrame, span: int = 1024) -> DataFrame:
 
 def contiguity_violations(seg: DataFrame) -> DataFrame:
     """Segments that don't start where the one before ends."""
-    order = Window.partitionBy("part").orderBy("base_offset")
-    expected = F.lag(F.col("base_offset") + F.col("record_count")).over(order)
-    return seg.withColumn("expected", expected).where("expected <> base_offset").select("part", "base_offset", "expected")
+    end = F.col("base_offset") + F.col("record_count")
+    keyed = seg.withColumn("_span", F.expr(f"base_offset div {SPAN}")).withColumn("_end", end)
+    # the first of a span follows the last of the span before that has any
+    last = keyed.groupBy("part", "_span").agg(F.max_by("_end", "base_offset").alias("_last"))
+    last = last.select("part", "_span", F.lag("_last").over(Window.partitionBy("part").orderBy("_span")).alias("_before"))
+    within = F.lag("_end").over(Window.partitionBy("part", "_span").orderBy("base_offset"))
+    return keyed.withColumn("_lag", within).join(last, ["part", "_span"]).withColumn("expected", F.coalesce("_lag", "_before")).where("expected <> base_offset").select("part", "base_offset", "expected")
 
 
 def offset_status(requests: DataFrame, ranges: DataFrame) -> DataFrame:

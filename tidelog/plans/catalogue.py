@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..functions import scalars as S
 from ..operators import groups, producers, records, retention
 
@@ -115,10 +116,10 @@ def log_fetch_multi_partition(spark, sf_dir):
 
 
 @query(f"""WITH {SEG} SELECT rec.part, rec.off, seg.base_offset, seg.record_count FROM rec JOIN seg ON rec.part = seg.part
-  AND rec.off BETWEEN seg.base_offset AND seg.base_offset + seg.record_count - 1 WHERE rec.off % 97 = 5""")
+  AND rec.off BETWEEN seg.base_offset AND seg.base_offset + seg.record_count - 1""")
 def log_locate_offset(spark, sf_dir):
     r = rec(spark, sf_dir)
-    return records.locate(r.where("off % 97 = 5").select("part", "off"), records.segments(r).select("part", "base_offset", "record_count")).select("part", "off", "base_offset", "record_count")
+    return records.locate(r.select("part", "off"), records.segments(r).select("part", "base_offset", "record_count")).select("part", "off", "base_offset", "record_count")
 
 
 @query(f"""WITH {SEG}, v AS (SELECT 'whole' AS variant, * FROM seg UNION ALL SELECT 'holes', * FROM seg WHERE seg % 7 <> 3),
@@ -225,11 +226,13 @@ _EDGES = """
   UNION ALL SELECT child, depth + 1 FROM tree JOIN edge ON parent = node) SELECT node, CAST(depth AS INTEGER) AS depth FROM tree""")
 def gc_live_trace(spark, sf_dir):
     """What is reachable from the roots of two partitions."""
-    name = "tidelog_trace_seg"
-    seg(spark, sf_dir).createOrReplaceTempView(name)
-    return spark.sql(f"""WITH RECURSIVE seg AS (SELECT * FROM {name}), {_EDGES.format(div="div")}, tree(node, depth) AS (
-      SELECT concat('root-', part), 0 FROM (SELECT DISTINCT part FROM seg WHERE part < 2)
-      UNION ALL SELECT child, depth + 1 FROM tree JOIN edge ON parent = node) SELECT node, depth FROM tree""")
+    s = seg(spark, sf_dir)
+    leaf = s.selectExpr("part", "concat('l0-', part, '-', seg div 4) as parent", "concat('s-', part, '-', seg) as child", "seg div 4 as page")
+    l1 = leaf.selectExpr("part", "concat('l1-', part, '-', page div 4) as parent", "parent as child").distinct()
+    root = l1.selectExpr("part", "concat('root-', part) as parent", "parent as child").distinct()
+    edges = leaf.select("parent", "child").union(l1.select("parent", "child")).union(root.select("parent", "child"))
+    roots = table(spark, sf_dir, "events").selectExpr("user_id % 4 as part").where("part < 2").selectExpr("concat('root-', part) as node")
+    return retention.reachable(edges, roots)
 
 
 # Producers: each user sends one-record batches in order; every fourth batch is sent again after up to eight others.
@@ -382,15 +385,15 @@ def offset_fetch_all_by_topic(spark, sf_dir):
 
 
 def _members(spark, sf_dir) -> DataFrame:
-    """Suppliers as members of their nation's group; which protocols one supports follows from its key."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 1")
-    s = s.selectExpr("cast(s_nationkey as string) as `group`", "s_suppkey as member", "s_suppkey % 2 as flip", "s_suppkey % 5 as five")
+    """Suppliers as members of their nation's group; which protocols one supports follows from both keys."""
+    s = table(spark, sf_dir, "supplier")
+    s = s.selectExpr("cast(s_nationkey as string) as `group`", "s_suppkey as member", "s_suppkey % 2 as flip", "s_nationkey % 5 + if(s_suppkey % 7 = 0, 1, 0) as five")
     s = s.withColumn("leader", F.col("member") == F.min("member").over(Window.partitionBy("group")))
     order = F.expr("if(flip = 0, array('range', 'roundrobin', 'sticky'), array('sticky', 'roundrobin', 'range'))")
     return s.select("group", "member", "leader", "five", F.posexplode(order).alias("position", "protocol")).where("not (protocol = 'sticky' and five = 0) and not (protocol = 'range' and five = 4)")
 
 
-_MEMBERS = """m AS (SELECT CAST(s_nationkey AS VARCHAR) AS "group", s_suppkey AS member, s_suppkey % 2 AS flip, s_suppkey % 5 AS five FROM supplier WHERE s_suppkey % 3 = 1),
+_MEMBERS = """m AS (SELECT CAST(s_nationkey AS VARCHAR) AS "group", s_suppkey AS member, s_suppkey % 2 AS flip, s_nationkey % 5 + CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END AS five FROM supplier),
 l AS (SELECT *, member = min(member) OVER (PARTITION BY "group") AS leader FROM m),
 o AS (SELECT l.*, x.protocol, CASE WHEN flip = 0 THEN x.a ELSE x.b END AS position FROM l, (VALUES ('range', 0, 2), ('roundrobin', 1, 1), ('sticky', 2, 0)) AS x(protocol, a, b)
   WHERE NOT (protocol = 'sticky' AND five = 0) AND NOT (protocol = 'range' AND five = 4))"""
@@ -515,11 +518,15 @@ def producer_lookup(spark, sf_dir):
 _CODES = {"APPENDED": 0, "DUPLICATE": 0, "OUT_OF_ORDER_SEQUENCE_NUMBER": 45, "INVALID_PRODUCER_EPOCH": 47, "CONFLICTING_SEQUENCE": 87}
 
 
-@query(f"WITH {_ARRIVALS} SELECT CASE verdict WHEN 'OUT_OF_ORDER_SEQUENCE_NUMBER' THEN 45 ELSE 0 END AS code, count(*) AS n FROM verdicts GROUP BY 1")
+@query(f"""WITH {_ARRIVALS}, {_EPOCHS}, every_one AS (SELECT verdict FROM verdicts
+  UNION ALL SELECT 'APPENDED' FROM b UNION ALL SELECT 'INVALID_PRODUCER_EPOCH' FROM b WHERE epoch < newest AND event_id % 5 = 0
+  UNION ALL SELECT 'APPENDED' FROM events UNION ALL SELECT 'CONFLICTING_SEQUENCE' FROM events WHERE event_id % 6 = 1)
+SELECT CASE verdict WHEN 'OUT_OF_ORDER_SEQUENCE_NUMBER' THEN 45 WHEN 'INVALID_PRODUCER_EPOCH' THEN 47 WHEN 'CONFLICTING_SEQUENCE' THEN 87 ELSE 0 END AS code, count(*) AS n FROM every_one GROUP BY 1""")
 def error_codes(spark, sf_dir):
-    """Verdicts as numeric codes of the public protocol."""
+    """Verdicts on resent, fenced and changed batches as numeric codes of the public protocol."""
     mapped = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
-    return producers.fold(_arrivals(spark, sf_dir)).groupBy(F.element_at(mapped, F.col("verdict")).alias("code")).agg(F.count("*").alias("n"))
+    judged = producers.fold(_arrivals(spark, sf_dir)).select("verdict").union(producer_epoch_fence(spark, sf_dir).select("verdict")).union(producer_conflict(spark, sf_dir).select("verdict"))
+    return judged.groupBy(F.element_at(mapped, F.col("verdict")).alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH m AS (SELECT CAST(s_nationkey AS VARCHAR) AS "group", s_suppkey AS member, 1000 + s_suppkey % 7 * 100 AS rebalance_ms, octet_length(encode(s_name)) AS bytes FROM supplier),
@@ -584,3 +591,38 @@ def batch_semantics(spark, sf_dir):
     r = rec(spark, sf_dir).selectExpr("part", "off div 50 as seg", "case when event_id % 211 = 0 then -2 when event_id % 307 = 1 then 5 else -1 end as producer_id", "case when event_id % 307 = 1 then 0 else -1 end as epoch")
     fit = F.bool_and((F.col("producer_id") >= -1) & ((F.col("producer_id") >= 0) == (F.col("epoch") >= 0))) & (F.min("producer_id") == F.max("producer_id"))
     return r.groupBy("part", "seg").agg(F.count("*").alias("n"), fit.alias("valid"))
+
+
+@query(f"""WITH {REC} SELECT part, off, epoch_us(ts) // 1000 AS timestamp_ms, event_type AS "key", props AS value, CAST(NULL AS VARCHAR) AS error FROM rec""")
+def decode_batches(spark, sf_dir):
+    """Each segment as a batch of the public format, decoded again."""
+    r = rec(spark, sf_dir).withColumn("seg", F.expr("off div 50"))
+    row = F.struct("off", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.encode("event_type", "UTF-8").alias("key"), F.encode("props", "UTF-8").alias("value"))
+    rows = F.transform(F.sort_array(F.collect_list(row)), lambda x: F.struct(x.timestamp_ms.alias("timestamp_ms"), x.key.alias("key"), x.value.alias("value")))
+    data = r.groupBy("part", "seg").agg(rows.alias("rows"), F.min("off").alias("base")).select("part", "base", codec.encoded("rows").alias("data"))
+    back = codec.decoded(data)
+    return back.select("part", (F.col("base") + F.col("record.offset")).alias("off"), "record.timestamp_ms", F.decode("record.key", "UTF-8").alias("key"), F.decode("record.value", "UTF-8").alias("value"), "error")
+
+
+@query("""WITH p AS (SELECT user_id AS producer_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY producer_id) - 1 AS nth FROM p)
+SELECT nth // 64 AS page, CAST(0 AS INTEGER) AS level, min(producer_id) AS min_id, max(producer_id) AS max_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS batches FROM r GROUP BY 1
+UNION ALL SELECT nth // 4096, 1, min(producer_id), max(producer_id), count(*), CAST(sum(n) AS BIGINT) FROM r GROUP BY 1""")
+def producer_page_rollup(spark, sf_dir):
+    """Producers in pages of 64 and pages of pages: what ids, how many producers and batches each has."""
+    p = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("producer_id")).agg(F.count("*").alias("batches"))
+    return producers.page_rollup(p, levels=2)
+
+
+@query("""WITH n AS (SELECT url AS name FROM pages UNION ALL SELECT split_part(url, '/', 3) FROM pages UNION ALL SELECT replace(replace(split_part(url, '://', 2), '/', '.'), '?', '-') FROM pages UNION ALL VALUES ('a/b'), ('/a'), ('a/'), ('a//b'), ('.'), (''), ('a/../b'), ('::1'), ('host name'), ('x' || repeat('y', 255)))
+SELECT name, name = '' OR (NOT contains(name, '//') AND NOT starts_with(name, '/') AND NOT ends_with(name, '/') AND len(list_filter(string_split(name, '/'), lambda x: x IN ('.', '..') OR NOT regexp_full_match(x, '[A-Za-z0-9._-]+'))) = 0) AS valid_prefix,
+  regexp_full_match(name, '[A-Za-z0-9._-]{1,249}') AND name NOT IN ('.', '..') AS valid_component,
+  length(name) BETWEEN 1 AND 255 AND NOT regexp_matches(name, '[\\s/]') AS valid_host FROM n""")
+def identifier_kinds(spark, sf_dir):
+    """Key prefixes, path components and advertised hosts."""
+    urls = table(spark, sf_dir, "pages").select(F.col("url").alias("name"))
+    hosts = urls.select(F.split_part("name", F.lit("/"), F.lit(3)))
+    clean = urls.select(F.replace(F.replace(F.split_part("name", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(".")), F.lit("?"), F.lit("-")))
+    odd = ["a/b", "/a", "a/", "a//b", ".", "", "a/../b", "::1", "host name", "x" + "y" * 255]
+    names = urls.union(hosts).union(clean).union(spark.createDataFrame([(x,) for x in odd], "name string"))
+    name = F.col("name")
+    return names.select("name", S.valid_prefix(name).alias("valid_prefix"), S.valid_name(name).alias("valid_component"), S.valid_host(name).alias("valid_host"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..errors import LogError
 from ..functions.codec import decoded, encode_batch
-from ..limits import REQUEST_RECORDS
+from ..operators.records import SPAN, assign_offsets
+from ..operators.tables import written
 from .log import AppendResult, Batch, EventLog
+from .requests import cut
 
 
 def read_batches(log: EventLog, path: str) -> DataFrame:
@@ -20,8 +22,8 @@ def read_batches(log: EventLog, path: str) -> DataFrame:
 
 def import_batches(log: EventLog, topic: str, partition: int, path: str) -> list[AppendResult]:
     """Appends the records of all files in the order of their offsets; none if a file can't be read or
-    offsets come twice. Each request takes the records of REQUEST_RECORDS offsets."""
-    rows = read_batches(log, path)
+    offsets come twice. Files are decoded once; each request keeps within the limits of records and bytes."""
+    rows = written(read_batches(log, path))
     bad = rows.where("error is not null").limit(1).collect()
     if bad:
         raise LogError(bad[0].file, bad[0].error)
@@ -31,10 +33,10 @@ def import_batches(log: EventLog, topic: str, partition: int, path: str) -> list
     out = []
     if not n:
         return out
-    span = F.expr(f"(offset - {first}) div {REQUEST_RECORDS}")
-    for r in rows.select(span.alias("nth")).distinct().orderBy("nth").collect():
-        part = rows.where(span == r.nth).withColumn("nth", F.col("offset"))
-        out += log.append_batches(topic, partition, [Batch(part)])
+    dense = assign_offsets(rows.withColumn("_all", F.lit(0)), ["_all"], ["offset"], F.expr(f"offset div {SPAN}"), "place")
+    cut_rows, requests = cut(dense.select("timestamp_ms", "key", "value", "headers", "place"), F.col("place"))
+    for r in requests:
+        out += log.append_batches(topic, partition, [Batch(cut_rows.where(F.col("request") == r))])
     return out
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..errors import LogError
@@ -117,9 +119,38 @@ class HadoopStore:
         return self.fs.delete(self._path(name), True)
 
 
+class S3Store(HadoopStore):
+    """The same over S3, where a rename isn't atomic but a put may be conditional: the object is created
+    only if there is none. A file system that doesn't know the condition refuses it, so this fails closed."""
+
+    CONDITION = "fs.option.create.conditional.overwrite"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, self.jvm = root, spark._jvm
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put_if_absent(self, name: str, data: bytes) -> bool:
+        try:
+            out = self.fs.createFile(self._path(name)).overwrite(False).recursive().must(self.CONDITION, True).build()
+            out.write(bytearray(data))
+            out.close()
+            return True
+        except Py4JJavaError as e:
+            # the condition is checked when the object is completed; a lost race is one of these
+            said = f"{e.java_exception.getClass().getName()} {e.java_exception.getMessage()}"
+            if "FileAlreadyExists" in said or "RemoteFileChanged" in said or "PreconditionFailed" in said or "412" in said:
+                return False
+            raise
+
+
 def open_store(spark: SparkSession, root: str):
     url = urlparse(root)
-    return LocalStore(url.path.rstrip("/")) if url.scheme in ("", "file") else HadoopStore(spark, root.rstrip("/"))
+    if url.scheme in ("", "file"):
+        return LocalStore(url.path.rstrip("/"))
+    return (S3Store if url.scheme in ("s3", "s3a") else HadoopStore)(spark, root.rstrip("/"))
+
+
+RACERS = 8
 
 
 def verify_store(store) -> None:
@@ -132,8 +163,11 @@ def verify_store(store) -> None:
             raise LogError("an existing file was replaced")
         if store.get(name) != b"first":
             raise LogError("a file doesn't read as written")
-        if not store.put_if_absent(f"{name}-next", b"next"):
-            raise LogError("a second new file was refused")
+        # of several at once one succeeds, and its content stays
+        with ThreadPoolExecutor(RACERS) as pool:
+            won = list(pool.map(lambda i: store.put_if_absent(f"{name}-next", b"%d" % i), range(RACERS)))
+        if won.count(True) != 1 or store.get(f"{name}-next") != b"%d" % won.index(True):
+            raise LogError("of several writers at once not exactly one succeeds")
     finally:
         store.delete(name)
         store.delete(f"{name}-next")
