@@ -189,6 +189,18 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert full.count() == 0 and suffix_dedup.remove_repeats(df).where("octet_length(kept) > n_bytes").count() == 0
 
 
+def test_rank_pairs_find_the_same_starts(spark):
+    r = random.Random(8)
+    base = "".join(r.choice("abé ") for _ in range(900))
+    texts = [base, base[100:520], "x" * 230, None, "ab" * 150, base[:199], base[300:500] + "q", base[300:500] + "z"]
+    as_bytes = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + 200] for b in as_bytes for i in range(len(b) - 199))
+    want = sorted((n, i) for n, b in enumerate(as_bytes) for i in range(len(b) - 199) if count[b[i : i + 200]] > 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(x) for x in suffix_dedup.by_rank_pairs(df).collect()) == want
+    assert suffix_dedup.by_rank_pairs(df.limit(0)).count() == 0
+
+
 def test_names_are_of_the_bytes_alone():
     a, b = b"x" * 40 + b"0123456789" * 40, b"0123456789" * 40
     one, two = (suffix_dedup.names(np.frombuffer(t, np.uint8)) for t in (a, b))

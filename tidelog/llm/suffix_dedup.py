@@ -18,7 +18,12 @@ Of rows with equal spans only one goes on to the next round, so copies don't mul
 hold a row for some 85 bytes of text. Matches never cross documents. Names have 64 bits in rounds 1
 and 2 on top of an equal 64-bit key, and a 128-bit hash of the bytes themselves in round 3.
 
-Defined results: null text is empty; texts below 200 bytes are kept whole; repeated rows are copies
+by_rank_pairs() is the plain method, ranks of all byte positions re-ranked by Spark at growing offsets. It
+gives the same starts and shuffles a multiple of what the rounds above do; figures are in the README.
+
+Defined results: empty tables give empty results; texts of any length are read whole, long ones in
+overlapping pieces; ties, that is strings that occur more than twice, all count; columns besides doc_id and
+text aren't read; null text is empty; texts below 200 bytes are kept whole; repeated rows are copies
 of one another, so their text goes entirely if it has 200 bytes; null ids are carried along.
 """
 
@@ -29,7 +34,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, utf8_buffer
@@ -263,24 +268,63 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
     open_rows = spans.join(several, "key").select("one.*", F.least("n", F.lit(2)).alias("weight"))
 
     # round 2: a weight of 2 stands for rows that are settled and only serve others to compare with
-    per_key = Window.partitionBy("key")
-    per_span = Window.partitionBy("key", "span")
     joined = docs.join(scratch.write(_by_text(open_rows, "first", "count", "distance", "weight")), _ID)
     blocks = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_blocks, f"{_ROWS}, weight long")
-    blocks = blocks.withColumns({"total": F.sum("weight").over(per_key), "low": F.min("span").over(per_key), "high": F.max("span").over(per_key)}).where("total > 1")
-    blocks = blocks.withColumns({"alike": F.sum("weight").over(per_span), "nth": F.row_number().over(per_span.orderBy(F.desc("weight"), *_ID, "first"))})
-    blocks = scratch.write(blocks.select(*_ID, "first", "count", "weight", "alike", "nth", (F.col("low") != F.col("high")).alias("mixed")))
-    covered.append(blocks.where("weight = 1 and alike > 1").select(*_ID, "first", "count"))
-    open_blocks = blocks.where("mixed and nth = 1").select(*_ID, "first", "count", F.least("alike", F.lit(2)).alias("weight"))
+    blocks = scratch.write(blocks)
+    first = F.min(F.struct((-F.col("weight")).alias("order"), *_ID, "first", "count")).alias("one")
+    kinds = scratch.write(blocks.groupBy("key", "span").agg(F.sum("weight").alias("alike"), first))
+    covered.append(scratch.write(blocks.where("weight = 1").join(kinds.where("alike > 1").select("key", "span"), ["key", "span"]).select(*_ID, "first", "count")))
+    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    open_blocks = kinds.join(mixed, "key").select("one.*", F.least("alike", F.lit(2)).alias("weight"))
 
     # round 3
     joined = docs.join(scratch.write(_by_text(open_blocks, "first", "count", "weight")), _ID)
-    positions = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_positions, "key long, key2 long, t1 long, t2 int, first long, weight long")
-    positions = positions.withColumn("total", F.sum("weight").over(Window.partitionBy("key", "key2"))).where("total > 1 and weight = 1")
-    covered.append(scratch.write(positions.select(*_ID, "first", F.lit(1).alias("count"))))
+    positions = scratch.write(joined.select("t1", "t2", "text", "rows").mapInArrow(_to_positions, "key long, key2 long, t1 long, t2 int, first long, weight long"))
+    several = scratch.write(positions.groupBy("key", "key2").agg(F.sum("weight").alias("total")).where("total > 1").select("key", "key2"))
+    covered.append(scratch.write(positions.where("weight = 1").join(several, ["key", "key2"]).select(*_ID, "first", F.lit(1).alias("count"))))
+    scratch.drop(blocks, kinds, positions, several)
 
     found = scratch.write(_by_text(covered[0].unionByName(covered[1]).unionByName(covered[2]), "first", "count"))
-    scratch.drop(live, spans, blocks, covered[2])
+    scratch.drop(live, spans, covered[1], covered[2])
     out = docs.join(found, _ID, "left").select("doc_id", "text", "rows")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return out.mapInArrow(_finish(form), f"doc_id {kind}, {form[1]}")
+
+
+#: Bytes that a position's first rank is made of.
+FIRST = 8
+
+
+def _to_ranks(batches):
+    for batch in batches:
+        for number, text in zip(batch.column("d").to_pylist(), batch.column("text").to_pylist()):
+            data = text.encode("utf-8")
+            for start in range(0, len(data) - FIRST + 1, _SLICE_BYTES):
+                part = np.frombuffer(data[start : start + _SLICE_BYTES + FIRST - 1], np.uint8)
+                ranks = np.lib.stride_tricks.sliding_window_view(part, FIRST).copy().view(">i8").astype(np.int64).ravel()
+                cols = [pa.array(np.full(len(ranks), number)), pa.array(np.arange(start, start + len(ranks), dtype=np.int64)), pa.array(ranks)]
+                yield pa.RecordBatch.from_arrays(cols, names=["d", "p", "r"])
+
+
+def by_rank_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, start of every repeated string of THRESHOLD bytes by plain prefix doubling.
+
+    The rank of h bytes at a position and that of the h bytes after it are a pair; equal pairs get one rank.
+    Unique positions are dropped in each round, until the length is the threshold.
+    """
+    scratch = Scratch(docs.sparkSession)
+    numbered = scratch.write(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("d")))
+    live = scratch.write(numbered.select("d", "text").mapInArrow(_to_ranks, "d long, p long, r long"))
+    length = FIRST
+    while length < THRESHOLD:
+        step = min(length, THRESHOLD - length)
+        shared = scratch.write(live.groupBy("r").count().where("count > 1").select("r"))
+        live = scratch.write(live.join(shared, "r"))
+        pairs = scratch.write(live.join(live.select("d", (F.col("p") - step).alias("p"), F.col("r").alias("r2")), ["d", "p"]))
+        # equal pairs get one number, written before it's used
+        ranks = scratch.write(pairs.groupBy("r", "r2").count().where("count > 1").select("r", "r2", F.monotonically_increasing_id().alias("rank")))
+        scratch.drop(live, shared)
+        live = scratch.write(pairs.join(ranks, ["r", "r2"]).select("d", "p", F.col("rank").alias("r")))
+        scratch.drop(pairs, ranks)
+        length += step
+    return live.join(numbered.select("d", "doc_id"), "d").select("doc_id", F.col("p").alias("start"))
