@@ -2,11 +2,11 @@
 
 Size-partitioned MinHash containment search, in DataFrame functions alone. Items are partitioned by
 size, that is their number of distinct shingles, in powers of two. An item's signature are its k
-smallest shingle hashes (bottom-k MinHash), k fixed for the partition: EXTRA + 1 above what a document
-may lack of the largest size in it. A document that holds the wanted share of an item lacks only so
-many of its shingles, so of the signature it holds EXTRA + 1 members at least, however long the
+smallest shingle hashes (bottom-k MinHash), k fixed for the partition: what a document may lack of the
+largest size in it, one more, and EXTRA of the smallest size. A document that holds the wanted share
+of an item lacks only so many of its shingles, so of the signature it holds the rest, however long the
 document: the search misses nothing. Documents that hold fewer aren't candidates, so a phrase that many
-items and documents share yields none. Documents smaller than the wanted share of a partition's
+items and documents share yields none unless it's a large part of an item. Documents smaller than the wanted share of a partition's
 smallest item aren't probed with it. Candidates are verified by the exact share of the item's
 shingles, compared as strings. Documents carry no signatures: of a long one, a bounded sample
 of shingles rarely holds one of a short item's.
@@ -33,8 +33,8 @@ from .common import Scratch
 
 THRESHOLD = 0.8
 WORDS = 5
-#: Members of a signature that a document must hold beyond the first.
-EXTRA = 3
+#: Members of a signature that a document must hold beyond the first, as a share of the smallest size.
+EXTRA = 0.5
 #: What may be broadcast: rows of signatures or candidates, some 40 bytes each, and bytes of items' texts.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
@@ -71,7 +71,7 @@ def _by_width(words_: Column, width: Column, widest: int, make) -> Column:
     return out
 
 
-def signatures(items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, extra: int = EXTRA) -> DataFrame:
+def signatures(items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, extra: float = EXTRA) -> DataFrame:
     """item, width, size, least_size, need, h: the bottom-k signature of each item(item, text), a row per
     hash; need is how many of its members a document that fits holds."""
     by_item = _let(words(F.col("text")), lambda w: F.struct(F.least(F.size(w), F.lit(width)).alias("width"), F.array_sort(F.array_distinct(_by_width(w, F.least(F.size(w), F.lit(width)), width, hashes))).alias("h")))
@@ -79,7 +79,7 @@ def signatures(items: DataFrame, threshold: float = THRESHOLD, width: int = WORD
     cut = cut.withColumn("size", F.size("h"))
     lower = F.pow(F.lit(2), F.floor(F.log2(F.col("size")))).cast("int")
     lacking = lambda size: F.floor(F.lit(1 - threshold) * size + F.lit(1e-9)).cast("int")
-    cut = cut.withColumn("h", F.slice("h", 1, lacking(2 * lower - 1) + 1 + extra))
+    cut = cut.withColumn("h", F.slice("h", 1, lacking(2 * lower - 1) + 1 + F.floor(lower * F.lit(extra)).cast("int")))
     need = F.greatest(F.lit(1), F.size("h") - lacking(F.col("size")))
     return cut.select("item", "width", "size", F.ceil(F.lit(threshold) * lower - F.lit(1e-9)).cast("int").alias("least_size"), need.alias("need"), F.explode("h").alias("h"))
 
