@@ -219,6 +219,13 @@ def test_escapes_are_reversible(role, text):
     assert reader.row(0)[1:3] == (1, hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest())
 
 
+def test_templates_that_texts_could_imitate_are_refused():
+    for bad in ({"turn": "### "}, {"text": ": "}, {"end": "</turn>"}, {"turn": "<|text|>"}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+    assert chat.Template(end="<|stop|>").end == "<|stop|>"
+
+
 def test_chats(spark):
     rows = [(1, 1, "assistant", "a<|end|>\n"), (1, 0, "user", "hi"), (2, 0, "assistant", None), (2, None, "user", "x"), (None, 0, None, "n"), (3, 0, "user", "p"), (3, 0, "user", "p")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, loss int")

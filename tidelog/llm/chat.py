@@ -11,7 +11,8 @@ definition, so one task reads it.)
 
 Defined results: a null text or role is empty; rows of one turn number are ordered by role and text;
 null turns come first; null conversation ids are one conversation; repeated rows are turns of their
-own. Turns in a wrong order are formatted like others, with order_ok false from the first on.
+own; empty tables give empty results; texts are held whole, one at a time; columns besides conv_id, turn,
+role and text aren't read. Turns in a wrong order are formatted like others, with order_ok false from the first on.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Template:
     """What stands before a role, between role and text, and after a text; whose texts are learnt;
-    and for each state, the roles that may come next. The state after a turn is its role."""
+    and for each state, the roles that may come next. The state after a turn is its role. Control strings
+    that don't begin with <| are refused: texts could hold them unescaped."""
 
     turn: str = "<|turn|>"
     text: str = "<|text|>"
@@ -45,6 +47,11 @@ class Template:
         }
     )
 
+    def __post_init__(self):
+        for control in (self.turn, self.text, self.end):
+            if not control.startswith("<|") or len({self.turn, self.text, self.end}) < 3:
+                raise ValueError("control strings begin with <| and differ")
+
 
 TEMPLATE = Template()
 _ESCAPE = re.compile(r"<(\\*)\|")
