@@ -28,6 +28,10 @@ def values(df):
 def test_stores_put_only_if_absent(spark, tmp_path):
     for store in (LocalStore(str(tmp_path / "a")), HadoopStore(spark, f"file://{tmp_path}/b")):
         verify_store(store)
+        for said in (b"1", b"", b"12"):
+            store.put("again", said)
+            assert store.get("again") == said
+        assert not store.put_if_absent("again", b"x") and store.get("again") == b"12"
         assert store.names("nothing") == [] and store.get("nothing") is None
 
 
@@ -107,15 +111,20 @@ def test_two_writers_at_once(log):
     assert sorted(got) == [0, 1, 2, 3] and sorted(values(log.fetch("t", 0, 0))) == list("abcd")
 
 
-def test_checkpoints_give_the_same_root(log, monkeypatch):
-    import tidelog.sources.log as module
+def test_pages_give_the_same_root(log, monkeypatch):
+    from tidelog.sources import index
 
-    monkeypatch.setattr(module, "CHECKPOINT", 3)
+    monkeypatch.setattr(index, "FANOUT", 2)
     log.create_topic("t")
-    for i in range(7):
-        log.append("t", 0, rows(f"v{i}"))
-    assert any("checkpoint" in n for n in log.store.names("topics/t/0/_log"))
-    assert values(log.fetch("t", 0, 5)) == ["v5", "v6"]
+    p = log.allocate_producer_id()
+    for i in range(5):
+        log.append("t", 0, rows(f"v{i}"), producer_id=p + 5 * i, epoch=0, sequence=0)
+    assert log.store.names("topics/t/0/index")
+    fresh = EventLog(log.spark, log.root)
+    assert values(fresh.fetch("t", 0, 2)) == ["v2", "v3", "v4"]
+    assert fresh.append("t", 0, rows("v1"), producer_id=p + 5, epoch=0, sequence=0).duplicate
+    fresh.maintain("t", 0, max_bytes=1, apply=True)
+    assert fresh.offsets("t", 0) == (5, 5) and fresh.append("t", 0, rows("v1"), producer_id=p + 5, epoch=0, sequence=0).duplicate
 
 
 def test_maintenance(log):

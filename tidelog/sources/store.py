@@ -36,6 +36,15 @@ class LocalStore:
         finally:
             os.unlink(aside)
 
+    def put(self, name: str, data: bytes) -> None:
+        """Replaces what is there."""
+        path = f"{self.root}/{name}"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        aside = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"
+        with open(aside, "wb") as f:
+            f.write(data)
+        os.replace(aside, path)
+
     def get(self, name: str) -> bytes | None:
         try:
             with open(f"{self.root}/{name}", "rb") as f:
@@ -96,6 +105,12 @@ class HadoopStore:
         finally:
             self.fs.delete(aside, False)
 
+    def put(self, name: str, data: bytes) -> None:
+        """Replaces what is there. The name exists throughout; its content may be read half written."""
+        out = self.fs.create(self._path(name), True)
+        out.write(bytearray(data))
+        out.close()
+
     def get(self, name: str) -> bytes | None:
         path = self._path(name)
         if not self.fs.exists(path):

@@ -33,8 +33,7 @@ class _Reader:
     def __init__(self, options: dict):
         self.root, self.topic = options["root"].rstrip("/"), options["topic"]
         # revisions are small local or mounted files; the reader runs without a session
-        self.log = EventLog.__new__(EventLog)
-        self.log.root, self.log.store = self.root, LocalStore(self.root)
+        self.log = EventLog.reading(LocalStore(self.root), self.root)
         self.start_at = options.get("startingoffsets", options.get("startingOffsets", "earliest"))
 
     def roots(self) -> dict[int, Root]:
@@ -44,8 +43,10 @@ class _Reader:
         out = []
         for p, root in roots.items():
             low, high = max(start.get(p, 0), root.start_offset), end.get(p, root.next_offset)
-            for s in root.segments:
-                if s.end > low and s.base_offset < high:
+            for s in root.segments_from(low):
+                if s.base_offset >= high:
+                    break
+                if s.end > low:
                     out.append(Part(f"{self.root}/topics/{self.topic}/{p}/{s.object}", p, s.base_offset, low, high))
         return out
 

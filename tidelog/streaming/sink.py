@@ -27,7 +27,7 @@ class LogSink:
         if done.metadata is not None and int(done.metadata) >= batch_id:
             return
         first = max(0, done.offset)
-        state = self.log.root_of(*self.key).producers.get(self.producer_id)
+        state = self.log.root_of(*self.key).producer(self.producer_id)
         known = state.batches[-1][0] if state and state.batches else -1
         # sorted in as many tasks as there are ranges of the order
         ranges = written(df.repartitionByRange(*self.order).withColumns({"_range": F.spark_partition_id(), "_all": F.lit(0)}))
