@@ -323,3 +323,33 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     hidden = spark.read.parquet(str(tmp_path / "stage3")).where("doc_id = 53").first().text
     assert "988" not in hidden and re.search(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}$", hidden)
     assert {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens").collect()} == {(r.doc_id, r.n_tokens) for r in now.collect()}
+
+
+#: Names that operators use for columns of their own, and one that has to be quoted.
+CLASHING = ["t1", "fp", "component", "component_id", "_kept_id", "_kept_text", "_t1", "_row", "_bad_id", "item", "h", "w", "n", "rank", "size", "key", "held_out", "a.b", "c`d"]
+
+
+def test_pipeline_on_odd_rows_and_columns(spark, tmp_path):
+    """Repeated ids and rows, null ids and columns of clashing names, then no rows at all."""
+    import corpus_pipeline
+
+    base = "the house and the garden of the king were in the middle of the town and all the people of the town came to see them "
+    item, a, b, c = text(30), base + text(60), base + text(60), base + text(60)
+    rows = [(1, a, "en"), (1, a, "en"), (1, b, "en"), (None, c, "en"), (None, c, None), (None, None, None), (2, "", None), (3, base + text(20) + " " + item, "en")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x.replace('`', '``')}` string" for x in CLASHING)
+    docs = spark.createDataFrame([(*r, None, None, *(f"{x}!" if r[0] else None for x in CLASHING)) for r in rows], schema)
+    items = spark.createDataFrame([(1, item, "x"), (None, None, None)], "item_id long, text string, doc_id string")
+    for name, wanted in (("some", Counter([(1, a), (1, b), (None, c)])), ("none", Counter())):
+        folder = str(tmp_path / name)
+        (docs if wanted else docs.limit(0)).write.parquet(f"{folder}/documents.parquet")
+        (items if wanted else items.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, now, folder).write.parquet(f"{folder}/{i}")
+            now = spark.read.parquet(f"{folder}/{i}")
+            if i < 4:
+                assert now.columns == docs.columns
+                assert all(r["c`d"] == ("c`d!" if r.doc_id else None) for r in now.collect())
+            if i == 3:
+                assert Counter((r.doc_id, r.text) for r in now.collect()) == wanted
+        assert now.count() == wanted.total() == corpus_pipeline.run(spark, folder).count()

@@ -6,7 +6,9 @@ ranks on either side are looked up again. Words above SCAN_LIMIT parts keep the
 linked list under a heap, so that a text without spaces doesn't cost the square of its length.
 
 Defined results: a null or empty text encodes to no ids and decodes to the empty string; repeated
-rows give repeated rows; other columns of the input are not read.
+rows give repeated rows; empty tables give empty results; texts of any length are encoded whole, one
+at a time; of pairs that tie in rank the leftmost is joined first; other columns of the input are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ alphabetically first language; repeated rows give repeated rows; without any lab
 row is UNKNOWN; empty tables give empty results. Null ids are predicted like others and are never held out. Every language that some
 row with a letter is labelled with is learnt, however short its texts; longer rows are taken first.
 A letter that a language's sample lacks costs as much as a phrase of the largest sample, so small
-samples aren't cheap for texts in other letters.
+samples aren't cheap for texts in other letters. Texts of any length are parsed whole, in pieces that go
+on from one another. Columns besides doc_id, text and lang aren't read, and accepted() keeps them whatever
+their names.
 """
 
 from __future__ import annotations
@@ -403,7 +405,9 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     becomes the predicted one. Texts without a letter go, and texts whose blocks, each in its nearest
     language, cost more than the sample of the text's language shows of its own; short texts have more room."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    # a mapping reads columns by names that need no quotes
+    names = [c if c in ("text", "lang") else f"other_{i}" for i, c in enumerate(docs.columns)]
+    given = docs.schema.names
 
     def run(batches):
         for whole in batches:
@@ -412,6 +416,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 keep = pa.array(known)
                 cols = {n: batch.column(n) for n in names}
                 cols["lang"] = pa.array([a if a is not None else b for a, b in zip(cols["lang"].to_pylist(), langs)], pa.string())
-                yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names).filter(keep)
+                yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=given).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*names).mapInArrow(run, docs.schema)

@@ -13,7 +13,8 @@ copies never meet as pairs. Components come from `components`.
 Defined results: empty tables give empty results; texts of any length count whole, one at a time; a
 text without words (null or empty) has fingerprint zero and is linked like any
 other; repeated rows give repeated rows; component_id is the smallest non-null doc_id of the
-component, null if it has none.
+component, null if it has none; fingerprints that tie are one node; columns besides doc_id and text
+aren't read, and one_of_each() keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -230,9 +231,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if not found.groupBy("doc_id", "t1").count().where("count > 1").limit(1).count():
         return out
     # repeated rows are aggregated, with a part in each task, rather than gathered
-    copies = out.groupBy("doc_id", F.xxhash64("text").alias("_t1")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*[c for c in docs.columns if not _unhashable(docs, c)])).alias("_row"))
+    hashed = F.xxhash64(*[_quoted(c) for c in docs.columns if not _unhashable(docs, c)])
+    copies = out.groupBy("doc_id", F.xxhash64("text").alias("_t1")).agg(F.min_by(F.struct(*map(_quoted, docs.columns)), hashed).alias("_row"))
     return copies.select("_row.*")
 
 
+def _quoted(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
+
 def _unhashable(docs: DataFrame, column: str) -> bool:
     return "map<" in docs.schema[column].dataType.simpleString() or docs.schema[column].dataType.simpleString() == "variant"
