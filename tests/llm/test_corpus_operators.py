@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelog.llm import ann, decontaminate, simhash, suffix_dedup
+from tidelog.llm import ann, common, decontaminate, simhash, suffix_dedup
 from tidelog.llm.components import components
 
 rnd = random.Random(11)
@@ -149,6 +149,25 @@ def test_joins_without_broadcasts_give_the_same(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()) == [(i, i) for i in range(20)]
 
 
+def test_few_rows_are_written_to_few_files(spark, tmp_path, monkeypatch):
+    """However many partitions shuffles have: each file costs executors several processes."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path / "between"))
+    docs = spark.createDataFrame([(i, f"the {i} quick brown fox {i} jumps over {i}") for i in range(300)], "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        items = docs.selectExpr("doc_id as item_id", "text")
+        decontaminate.contaminated(docs, items).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("doc_id", "item_id").collect())) == [(i, i) for i in range(300)]
+    files = {p.name: len(list(p.glob("part-*"))) for p in [*tmp_path.glob("between/*/*"), tmp_path / "out"]}
+    assert files.pop("2") <= max(8, spark.sparkContext.defaultParallelism) and files == {"0": 1, "1": 1, "out": 1}
+
+
 def test_a_phrase_that_many_share_makes_no_candidates(spark):
     stock = text(9)
     items = spark.createDataFrame([(i, f"{stock} {text(20)}") for i in range(500)], "item long, text string")

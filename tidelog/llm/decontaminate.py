@@ -16,7 +16,9 @@ shingle of all their words and are sought among the documents' shingles of that
 
 Signatures are broadcast if there are at most BROADCAST_ROWS, else joined by a shuffle on the hash; so
 are candidates, and items if their texts have at most BROADCAST_BYTES. Texts are read again for the
-candidates only.
+candidates only. Items, candidates and results are few beside the documents: they are written by as
+many tasks as their size asks for, not by one for each shuffle partition, since every file costs
+processes (Hadoop forks several for each where it lacks its native library).
 
 Defined results: items without words match nothing, null texts hold nothing; one row for each
 doc_id and item_id whatever rows repeat (the largest share of equal ids, null ids among them); empty
@@ -38,6 +40,9 @@ EXTRA = 0.5
 #: What may be broadcast: rows of signatures or candidates, some 40 bytes each, and bytes of items' texts.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
+#: What one task writes: bytes of items' texts, rows of the result.
+ITEM_BYTES = 4 << 20
+RESULT_ROWS = 50_000
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -106,36 +111,46 @@ def candidates(docs: DataFrame, signed: DataFrame, width: int = WORDS) -> DataFr
     return out
 
 
-def _contained(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
-    """doc_id, t1, item (hash of its text), n_shingles, n_found of every document and item that fit."""
+def _text_bytes(items: DataFrame) -> int:
+    return items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def _contained(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> tuple[DataFrame, int]:
+    """doc_id, t1, item (hash of its text), n_shingles, n_found of every document and item that fit;
+    the number of candidates."""
     scratch = Scratch(docs.sparkSession)
-    items = scratch.write(items.select(F.xxhash64("text").alias("item"), "text").distinct())
+    texts = items.select(F.xxhash64("text").alias("item"), "text").distinct()
+    items = scratch.write(texts.coalesce(1 + _text_bytes(items) // ITEM_BYTES))
     signed = scratch.write(signatures(items, threshold, width))
-    found = scratch.write(candidates(docs, signed, width))
+    # how many there are isn't known yet: no more files than tasks run at once
+    found = scratch.write(candidates(docs, signed, width).coalesce(max(8, docs.sparkSession.sparkContext.defaultParallelism)))
     # the shingles of each item, made once
     parts = _let(words(F.col("text")), lambda w: F.struct(F.least(F.size(w), F.lit(width)).alias("width"), F.array_distinct(_by_width(w, F.least(F.size(w), F.lit(width)), width, shingles)).alias("mine")))
     held = items.select("item", parts.alias("x")).select("item", "x.width", "x.mine")
-    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+    if _text_bytes(items) <= BROADCAST_BYTES:
         held = F.broadcast(held)
-    found_rows = _small(found.select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), "item"), found.count())
+    n = found.count()
+    found_rows = _small(found.select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), "item"), n)
     texts = docs.select("doc_id", F.xxhash64("text").alias("t1"), "text")
     near = texts.join(found_rows, texts["doc_id"].eqNullSafe(found_rows["_doc"]) & (texts["t1"] == found_rows["_t1"])).select("doc_id", "t1", "text", "item").join(held, "item")
     theirs = _let(words(F.col("text")), lambda w: _by_width(w, F.col("width"), width, shingles))
     near = near.select("doc_id", "t1", "item", F.size("mine").alias("n_shingles"), F.size(F.array_intersect("mine", theirs)).alias("n_found"))
-    return near.where(F.col("n_found") >= F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9))
+    return near.where(F.col("n_found") >= F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9)), n
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found, containment."""
     ids = items.select(F.xxhash64("text").alias("item"), "item_id").distinct()
-    named = _contained(docs, items, threshold, width).join(ids, "item")
-    best = named.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", "n_shingles")).alias("m"))
+    near, n = _contained(docs, items, threshold, width)
+    named = near.join(ids, "item")
+    best = named.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", "n_shingles")).alias("m")).coalesce(1 + n // RESULT_ROWS)
     return best.select("doc_id", "item_id", F.col("m.n_shingles").cast("long").alias("n_shingles"), F.col("m.n_found").cast("long").alias("n_found"), (F.col("m.n_found") / F.col("m.n_shingles")).alias("containment"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """The rows of docs that hold no item."""
-    bad = _contained(docs, items, threshold, width).select(F.col("doc_id").alias("_bad_id"), "t1").distinct()
+    near, _ = _contained(docs, items, threshold, width)
+    bad = near.select(F.col("doc_id").alias("_bad_id"), "t1").distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["t1"]), "left_anti")
 
 
