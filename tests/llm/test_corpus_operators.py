@@ -208,6 +208,31 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert full.count() == 0 and suffix_dedup.remove_repeats(df).where("octet_length(kept) > n_bytes").count() == 0
 
 
+def test_repeats_are_found_with_few_tables_and_files(spark, tmp_path, monkeypatch):
+    """Each file costs executors several processes; joins can still split a hot key."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, *tables: None)
+    r = random.Random(4)
+    base = "".join(r.choice("abcdé ") for _ in range(2000))
+    texts = [base[i * 20 :] + base[: 300 - i] + "#" + base[500 - i : 900] for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(tuple(x)[1:] for x in suffix_dedup.remove_repeats(df, suffix_dedup.DIGEST).collect())
+        keyed = df.selectExpr("doc_id as key")
+        shared, own = (keyed.join(x, "key")._jdf.queryExecution().toString().count("Exchange hashpartitioning") for c in [keyed.groupBy("key").count()] for x in (c, suffix_dedup._dealt_anew(c, "key")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(brute_repeats([t.encode() for t in texts])) and own == shared + 1
+    files = [len(list(tmp_path.glob(f"*/{i}/part-*"))) for i in range(13)]
+    most = max(8, spark.sparkContext.defaultParallelism)
+    assert not any(files[7:]) and all(files[:7]) and max(files[2], files[4], files[6]) <= most
+
+
 def test_rank_pairs_find_the_same_starts(spark):
     r = random.Random(8)
     base = "".join(r.choice("abé ") for _ in range(900))

@@ -63,6 +63,11 @@ class Scratch:
         self.paths[len(self.paths)] = (out, path)
         return out
 
+    def size(self, *tables: DataFrame) -> int:
+        """Bytes of tables' files."""
+        found = [self._path(name) for out, name in self.paths.values() if any(out is t for t in tables)]
+        return sum(fs.getContentSummary(path).getLength() for path, fs in found)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing still to be computed reads."""
         for out, name in self.paths.values():

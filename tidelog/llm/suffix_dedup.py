@@ -47,6 +47,8 @@ _SHARED = THRESHOLD - STEP + 1  # bytes that all strings of a block share
 #: Text bytes that are named at a time in a worker: some 80 times as much memory.
 _SLICE_BYTES = 1 << 20
 _INDEX_BITS = 26
+#: Bytes of a table that one task sums up into another, where shuffles have more partitions than that asks for.
+_TASK_BYTES = 2 << 20
 _P1, _P2, _P3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -249,6 +251,12 @@ def _by_text(rows: DataFrame, *cols: str) -> DataFrame:
     return rows.select(*_ID, *cols).distinct().groupBy(*_ID).agg(F.collect_list(F.struct(*cols)).alias("rows"))
 
 
+def _dealt_anew(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of an aggregate, with a key that Spark takes for another one: a join then has a shuffle of
+    its own and can split a hot key, which it can't if it shares the aggregate's."""
+    return rows.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
     """doc_id of every row, with its bytes less those that a repeated 200-byte string covers."""
     text = F.coalesce("text", F.lit(""))
@@ -256,36 +264,44 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
 
     scratch = Scratch(docs.sparkSession)
 
+    def few(df: DataFrame, *read: DataFrame) -> DataFrame:
+        """df, summed up from tables, in as many tasks as their size asks for."""
+        return df.coalesce(max(8, docs.sparkSession.sparkContext.defaultParallelism, scratch.size(*read) // _TASK_BYTES))
+
+    # Only what is read more than once is written, and what is found, so that the rest can go: every file
+    # that a task writes costs processes (Hadoop forks chmod for the file, its checksums and its folder
+    # where it lacks its native library), and until such a child is chmod it shares the executor's memory.
+
     # round 1: copies of a text are told apart by their rows alone, which are equal
     rows = scratch.write(docs.select("t1", "t2", "text").mapInArrow(_rows_of_anchors, _ROWS))
-    # tables of their own: a join that doesn't share its shuffle with an aggregate can split a hot key
-    repeated = scratch.write(rows.groupBy("key").count().where("count > 1").select("key"))
-    live = scratch.write(rows.join(repeated, "key"))
-    scratch.drop(rows, repeated)
-    spans = scratch.write(live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "count", "distance")).alias("one")))
+    repeated = rows.groupBy("key").count().where("count > 1").select("key")
+    live = scratch.write(rows.join(_dealt_anew(repeated, "key"), "key"))
+    scratch.drop(rows)
+    spans = live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "count", "distance")).alias("one"))
+    spans = scratch.write(few(spans, live))
     several = spans.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
     covered = [live.join(spans.where("n > 1").select("key", "span"), ["key", "span"]).select(*_ID, "first", "count")]
     open_rows = spans.join(several, "key").select("one.*", F.least("n", F.lit(2)).alias("weight"))
 
     # round 2: a weight of 2 stands for rows that are settled and only serve others to compare with
-    joined = docs.join(scratch.write(_by_text(open_rows, "first", "count", "distance", "weight")), _ID)
+    joined = docs.join(_dealt_anew(_by_text(open_rows, "first", "count", "distance", "weight"), "t1"), _ID)
     blocks = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_blocks, f"{_ROWS}, weight long")
     blocks = scratch.write(blocks)
     first = F.min(F.struct((-F.col("weight")).alias("order"), *_ID, "first", "count")).alias("one")
-    kinds = scratch.write(blocks.groupBy("key", "span").agg(F.sum("weight").alias("alike"), first))
-    covered.append(scratch.write(blocks.where("weight = 1").join(kinds.where("alike > 1").select("key", "span"), ["key", "span"]).select(*_ID, "first", "count")))
+    kinds = scratch.write(few(blocks.groupBy("key", "span").agg(F.sum("weight").alias("alike"), first), blocks))
+    covered.append(blocks.where("weight = 1").join(kinds.where("alike > 1").select("key", "span"), ["key", "span"]).select(*_ID, "first", "count"))
     mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
     open_blocks = kinds.join(mixed, "key").select("one.*", F.least("alike", F.lit(2)).alias("weight"))
 
     # round 3
-    joined = docs.join(scratch.write(_by_text(open_blocks, "first", "count", "weight")), _ID)
+    joined = docs.join(_dealt_anew(_by_text(open_blocks, "first", "count", "weight"), "t1"), _ID)
     positions = scratch.write(joined.select("t1", "t2", "text", "rows").mapInArrow(_to_positions, "key long, key2 long, t1 long, t2 int, first long, weight long"))
-    several = scratch.write(positions.groupBy("key", "key2").agg(F.sum("weight").alias("total")).where("total > 1").select("key", "key2"))
-    covered.append(scratch.write(positions.where("weight = 1").join(several, ["key", "key2"]).select(*_ID, "first", F.lit(1).alias("count"))))
-    scratch.drop(blocks, kinds, positions, several)
+    several = positions.groupBy("key", "key2").agg(F.sum("weight").alias("total")).where("total > 1").select("key", "key2")
+    covered.append(positions.where("weight = 1").join(_dealt_anew(several, "key"), ["key", "key2"]).select(*_ID, "first", F.lit(1).alias("count")))
 
-    found = scratch.write(_by_text(covered[0].unionByName(covered[1]).unionByName(covered[2]), "first", "count"))
-    scratch.drop(live, spans, covered[1], covered[2])
+    found = _by_text(covered[0].unionByName(covered[1]).unionByName(covered[2]), "first", "count")
+    found = scratch.write(few(found, live, blocks, positions))
+    scratch.drop(live, spans, blocks, kinds, positions)
     out = docs.join(found, _ID, "left").select("doc_id", "text", "rows")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return out.mapInArrow(_finish(form), f"doc_id {kind}, {form[1]}")
