@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -233,6 +234,60 @@ def test_repeats_are_found_with_few_tables_and_files(spark, tmp_path, monkeypatc
     assert not any(files[7:]) and all(files[:7]) and max(files[2], files[4], files[6]) <= most
 
 
+def processes_begun(spark, path, run):
+    """Commands of the processes that the JVM begins meanwhile."""
+    jvm = spark._jvm
+    recording = jvm.jdk.jfr.Recording()
+    recording.enable("jdk.ProcessStart")
+    recording.start()
+    run()
+    recording.stop()
+    file = jvm.java.io.File(str(path)).toPath()
+    recording.dump(file)
+    recording.close()
+    return [e.getString("command") for e in jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(file)]
+
+
+def test_repeats_write_tables_without_processes(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some text " * 30 + f"{i} " * 90) for i in range(20)], "doc_id long, text string")
+    assert processes_begun(spark, tmp_path / "plain.jfr", lambda: df.write.parquet(str(tmp_path / "plain")))
+    assert processes_begun(spark, tmp_path / "tables.jfr", lambda: suffix_dedup.remove_repeats(df)) == []
+
+
+def test_tables_of_numbers_are_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(common, "_GROUP_BYTES", 100)
+    df = spark.range(0, 1000, 1, 4).selectExpr("id", "if(id % 3 = 0, null, cast(id as int)) as n", "array(struct(id as a), struct(id + 1 as a)) as l").where("id < 250 or id >= 500")
+
+    def twice(batches):
+        for batch in batches:
+            yield batch.select(["id"])
+            yield batch.select(["id"])
+
+    def failing(batches):
+        for batch in batches:
+            yield batch.select(["id"])
+            raise ValueError("stopped")
+
+    mounted = common.Scratch(spark)
+    elsewhere = common.Scratch(spark)
+    find = elsewhere._path
+
+    class Store:
+        getScheme = staticmethod(lambda: "store")
+
+    elsewhere._path = lambda name: (find(name)[0], Store)
+    for scratch in (mounted, elsewhere):
+        out = scratch.write_numbers(df)
+        assert out.dtypes == df.dtypes and sorted(out.collect()) == sorted(df.collect())
+        assert sorted(r.id for r in scratch.write_numbers(df.where("id < 9"), twice, "id long").collect()) == sorted([*range(9)] * 2)
+        assert scratch.write_numbers(df.limit(0)).count() == 0
+    assert not [*tmp_path.rglob(".part-*.parquet-*")]
+    with pytest.raises(Exception, match="stopped"):
+        mounted.write_numbers(df, failing, "id long")
+    assert not [*Path(mounted.folder).glob("3/part-*")] and spark.read.schema("id long").parquet(f"{mounted.folder}/3").count() == 0
+
+
 def test_rank_pairs_find_the_same_starts(spark):
     r = random.Random(8)
     base = "".join(r.choice("abé ") for _ in range(900))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
@@ -35,6 +38,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of rows that a worker holds before it writes them.
+_GROUP_BYTES = 8 << 20
+
+
+def _to_file(folder: str, make):
+    """For mapInArrow: writes what make makes of a task's rows, or the rows, to one file, which appears once it
+    is whole; a task that runs again replaces it by equal rows."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        name = f"part-{TaskContext.get().partitionId():05d}.parquet"
+        hidden, writer, held, size, rows = f"{folder}/.{name}-{uuid.uuid4().hex}", None, [], 0, 0
+        for batch in chain(make(batches) if make else batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+                rows += batch.num_rows
+            if held and (batch is None or size >= _GROUP_BYTES):
+                writer = writer or pq.ParquetWriter(hidden, held[0].schema)
+                writer.write_table(pa.Table.from_batches(held))
+                held, size = [], 0
+        if writer:
+            writer.close()
+            os.replace(hidden, f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
+
+    return run
+
+
 class Scratch:
     """Parquet tables in a folder of their own below spark.checkpoint.dir, which driver and executors
     share. Writing cuts lineage and survives lost executors. Tables go when they are dropped, or
@@ -52,14 +85,34 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         """df as a table. What its computation shuffled is gone afterwards."""
         path = f"{self.folder}/{len(self.paths)}"
+        # the setting is read where a query is planned
+        self._cleaning(lambda: df.select("*").write.parquet(path))
+        return self._written(path, df.schema)
+
+    def write_numbers(self, df: DataFrame, make=None, ddl: str | None = None) -> DataFrame:
+        """df, or what make makes of it for mapInArrow, of integers and arrays of them, as a table. Where the
+        folder is mounted, the workers write the files: Hadoop's file system forks chmod for each file, its
+        checksums and its task's folder if it lacks its native library, and until such a child is
+        chmod it shares the executor's memory. Other stores are written to by Spark."""
+        path = f"{self.folder}/{len(self.paths)}"
+        folder, fs = self._path(path)
+        if fs.getScheme() != "file":
+            return self.write(df.mapInArrow(make, ddl) if make else df)
+        folder = folder.toUri().getPath()
+        os.makedirs(folder)
+        self._cleaning(lambda: df.mapInArrow(_to_file(folder, make), "rows long").collect())
+        return self._written(path, ddl if make else df.schema)
+
+    def _cleaning(self, run) -> None:
         before = self.spark.conf.get(_CLEANUP)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            # the setting is read where a query is planned
-            df.select("*").write.parquet(path)
+            run()
         finally:
             self.spark.conf.set(_CLEANUP, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
+
+    def _written(self, path: str, schema) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
         self.paths[len(self.paths)] = (out, path)
         return out
 

@@ -268,39 +268,36 @@ def remove_repeats(docs: DataFrame, form=FULL) -> DataFrame:
         """df, summed up from tables, in as many tasks as their size asks for."""
         return df.coalesce(max(8, docs.sparkSession.sparkContext.defaultParallelism, scratch.size(*read) // _TASK_BYTES))
 
-    # Only what is read more than once is written, and what is found, so that the rest can go: every file
-    # that a task writes costs processes (Hadoop forks chmod for the file, its checksums and its folder
-    # where it lacks its native library), and until such a child is chmod it shares the executor's memory.
+    # only what is read more than once is written, and what is found, so that the rest can go
 
     # round 1: copies of a text are told apart by their rows alone, which are equal
-    rows = scratch.write(docs.select("t1", "t2", "text").mapInArrow(_rows_of_anchors, _ROWS))
+    rows = scratch.write_numbers(docs.select("t1", "t2", "text"), _rows_of_anchors, _ROWS)
     repeated = rows.groupBy("key").count().where("count > 1").select("key")
-    live = scratch.write(rows.join(_dealt_anew(repeated, "key"), "key"))
+    live = scratch.write_numbers(rows.join(_dealt_anew(repeated, "key"), "key"))
     scratch.drop(rows)
     spans = live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "count", "distance")).alias("one"))
-    spans = scratch.write(few(spans, live))
+    spans = scratch.write_numbers(few(spans, live))
     several = spans.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
     covered = [live.join(spans.where("n > 1").select("key", "span"), ["key", "span"]).select(*_ID, "first", "count")]
     open_rows = spans.join(several, "key").select("one.*", F.least("n", F.lit(2)).alias("weight"))
 
     # round 2: a weight of 2 stands for rows that are settled and only serve others to compare with
     joined = docs.join(_dealt_anew(_by_text(open_rows, "first", "count", "distance", "weight"), "t1"), _ID)
-    blocks = joined.select("t1", "t2", "text", "rows").mapInArrow(_to_blocks, f"{_ROWS}, weight long")
-    blocks = scratch.write(blocks)
+    blocks = scratch.write_numbers(joined.select("t1", "t2", "text", "rows"), _to_blocks, f"{_ROWS}, weight long")
     first = F.min(F.struct((-F.col("weight")).alias("order"), *_ID, "first", "count")).alias("one")
-    kinds = scratch.write(few(blocks.groupBy("key", "span").agg(F.sum("weight").alias("alike"), first), blocks))
+    kinds = scratch.write_numbers(few(blocks.groupBy("key", "span").agg(F.sum("weight").alias("alike"), first), blocks))
     covered.append(blocks.where("weight = 1").join(kinds.where("alike > 1").select("key", "span"), ["key", "span"]).select(*_ID, "first", "count"))
     mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
     open_blocks = kinds.join(mixed, "key").select("one.*", F.least("alike", F.lit(2)).alias("weight"))
 
     # round 3
     joined = docs.join(_dealt_anew(_by_text(open_blocks, "first", "count", "weight"), "t1"), _ID)
-    positions = scratch.write(joined.select("t1", "t2", "text", "rows").mapInArrow(_to_positions, "key long, key2 long, t1 long, t2 int, first long, weight long"))
+    positions = scratch.write_numbers(joined.select("t1", "t2", "text", "rows"), _to_positions, "key long, key2 long, t1 long, t2 int, first long, weight long")
     several = positions.groupBy("key", "key2").agg(F.sum("weight").alias("total")).where("total > 1").select("key", "key2")
     covered.append(positions.where("weight = 1").join(_dealt_anew(several, "key"), ["key", "key2"]).select(*_ID, "first", F.lit(1).alias("count")))
 
     found = _by_text(covered[0].unionByName(covered[1]).unionByName(covered[2]), "first", "count")
-    found = scratch.write(few(found, live, blocks, positions))
+    found = scratch.write_numbers(few(found, live, blocks, positions))
     scratch.drop(live, spans, blocks, kinds, positions)
     out = docs.join(found, _ID, "left").select("doc_id", "text", "rows")
     kind = docs.schema["doc_id"].dataType.simpleString()
