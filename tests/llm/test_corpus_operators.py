@@ -254,6 +254,24 @@ def test_repeats_write_tables_without_processes(spark, tmp_path):
     assert processes_begun(spark, tmp_path / "tables.jfr", lambda: suffix_dedup.remove_repeats(df)) == []
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_duplicates_write_tables_without_processes(spark, tmp_path, kind):
+    df = spark.createDataFrame([(i, f"{i % 5} " * 9 + text(9) if i < 5 else "") for i in range(20)], "doc_id long, text string")
+    df = df.withColumn("doc_id", F.col("doc_id").cast(kind))
+    assert processes_begun(spark, tmp_path / "all.jfr", lambda: simhash.near_duplicates(df).collect()) == []
+    assert processes_begun(spark, tmp_path / "one.jfr", lambda: simhash.one_of_each(df)) == []
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(20,2)", "date", "interval day to second"])
+def test_near_duplicates_keep_other_kinds_of_ids(spark, kind):
+    of = {"date": "date_add(date'2020-01-01', cast(i as int))", "interval day to second": "make_dt_interval(cast(i as int))"}.get(kind, f"cast(i as {kind})")
+    df = spark.createDataFrame([(i, "some words that are alike" if i else "") for i in range(3)], "i long, text string").selectExpr(f"{of} as doc_id", "text")
+    ids = [r.doc_id for r in df.orderBy("doc_id").collect()]
+    found = simhash.near_duplicates(df)
+    assert found.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(ids[0], ids[0]), (ids[1], ids[1]), (ids[2], ids[1])]
+
+
 def test_tables_of_numbers_are_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
     monkeypatch.setattr(common, "_GROUP_BYTES", 100)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
@@ -68,6 +69,15 @@ def _to_file(folder: str, make):
     return run
 
 
+def _plain(kind: T.DataType) -> bool:
+    """Whether Arrow's files hold the type as Spark's do."""
+    if isinstance(kind, T.StructType):
+        return all(_plain(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _plain(kind.elementType)
+    return isinstance(kind, (T.IntegralType, T.StringType))
+
+
 class Scratch:
     """Parquet tables in a folder of their own below spark.checkpoint.dir, which driver and executors
     share. Writing cuts lineage and survives lost executors. Tables go when they are dropped, or
@@ -90,18 +100,19 @@ class Scratch:
         return self._written(path, df.schema)
 
     def write_numbers(self, df: DataFrame, make=None, ddl: str | None = None) -> DataFrame:
-        """df, or what make makes of it for mapInArrow, of integers and arrays of them, as a table. Where the
-        folder is mounted, the workers write the files: Hadoop's file system forks chmod for each file, its
-        checksums and its task's folder if it lacks its native library, and until such a child is
-        chmod it shares the executor's memory. Other stores are written to by Spark."""
+        """df, or what make makes of it for mapInArrow, of integers, strings, arrays and structs of them, as a
+        table. Where the folder is mounted, the workers write the files: Hadoop's file system forks chmod for each
+        file, its checksums and its task's folder if it lacks its native library, and until such a child is
+        chmod it shares the executor's memory. Other stores and types are written to by Spark."""
         path = f"{self.folder}/{len(self.paths)}"
         folder, fs = self._path(path)
-        if fs.getScheme() != "file":
-            return self.write(df.mapInArrow(make, ddl) if make else df)
+        made = df.mapInArrow(make, ddl) if make else df
+        if fs.getScheme() != "file" or not _plain(made.schema):
+            return self.write(made)
         folder = folder.toUri().getPath()
         os.makedirs(folder)
         self._cleaning(lambda: df.mapInArrow(_to_file(folder, make), "rows long").collect())
-        return self._written(path, ddl if make else df.schema)
+        return self._written(path, made.schema)
 
     def _cleaning(self, run) -> None:
         before = self.spark.conf.get(_CLEANUP)

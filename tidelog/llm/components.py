@@ -33,14 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
     and a lost executor costs one round at most; only a row count and a sum come to the driver.
     """
     scratch = Scratch(edges.sparkSession)
-    now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.write_numbers(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == before or not mark.n:
             break
         before = mark
-        last, now = now, scratch.write(_star(_star(now, True), False))
+        last, now = now, scratch.write_numbers(_star(_star(now, True), False))
         scratch.drop(last)
     else:
         raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, written
+from .common import Scratch, shuffle_partitions
 from .components import components
 
 DISTANCE = 3
@@ -58,8 +58,8 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(totals * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, t1 (a hash of the text) and fp, the fingerprint as a signed long, of every whole text."""
+def _fingerprinted(docs: DataFrame):
+    """What fingerprints() are made of, how, and their columns."""
 
     def run(batches):
         for batch in batches:
@@ -67,7 +67,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), pa.array(fp.view(np.int64))], names=["doc_id", "t1", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("t1"), "text").mapInArrow(run, f"doc_id {kind}, t1 long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("t1"), "text"), run, f"doc_id {kind}, t1 long, fp long"
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, t1 (a hash of the text) and fp, the fingerprint as a signed long, of every whole text."""
+    rows, run, ddl = _fingerprinted(docs)
+    return rows.mapInArrow(run, ddl)
 
 
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -109,8 +115,9 @@ def variants(distinct: DataFrame) -> DataFrame:
 _FOUND = "a long, b long, key long"
 
 
-def _links_of_groups(rows: DataFrame, keys: list[str], split_over: int | None) -> DataFrame:
-    """Forest links (a, b) of the groups of a key; of groups over split_over, the rows (a, key) instead.
+def _links_of_groups(rows: DataFrame, keys: list[str], split_over: int | None):
+    """Forest links (a, b) of the groups of a key; of groups over split_over, the rows (a, key) instead:
+    what they are made of, how, and their columns.
 
     A partition is sorted and streamed: split_over fingerprints of one group are held at most. None
     is for groups that the pigeonhole argument bounds.
@@ -168,18 +175,20 @@ def _links_of_groups(rows: DataFrame, keys: list[str], split_over: int | None) -
         yield flush()
 
     sent = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return sent.select(*keys, "fp").mapInArrow(run, _FOUND)
+    return sent.select(*keys, "fp"), run, _FOUND
 
 
 def links(distinct: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """a, b: links that join all fingerprints within DISTANCE bits, directly or through others."""
+    scratch = Scratch(distinct.sparkSession)
     # the few rows are dealt out first: each becomes SEGMENTS * _WIDTH
     keyed = variants(distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp"))
-    found = written(_links_of_groups(keyed, ["key"], split_over))
+    found = scratch.write_numbers(*_links_of_groups(keyed, ["key"], split_over))
     out = found.where("key is null").select("a", "b")
     large = found.where("key is not null").select("key", F.col("a").alias("fp"))
     if large.limit(1).count():
-        out = out.union(_links_of_groups(_split(large), ["key", "bit2", "rest2"], None).select("a", "b"))
+        sent, run, ddl = _links_of_groups(_split(large), ["key", "bit2", "rest2"], None)
+        out = out.union(sent.mapInArrow(run, ddl).select("a", "b"))
     return out
 
 
@@ -199,12 +208,13 @@ def _split(members: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame) -> DataFrame:
     """doc_id, t1, fp, component (a fingerprint), component_id of every row."""
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.write(fingerprints(docs))
-    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = scratch.write(components(links(distinct)))
+    # workers write the tables: each file that Spark writes costs its executor processes, see write_numbers
+    fps = scratch.write_numbers(*_fingerprinted(docs))
+    distinct = scratch.write_numbers(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comp = scratch.write_numbers(components(links(distinct)))
     # a component is named by a fingerprint; its smallest doc_id is what the result carries
     named = comp.join(distinct, comp.node == distinct.fp).groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = scratch.write(comp.join(named, "component").select(F.col("node").alias("fp"), "component", "component_id"))
+    of_fp = scratch.write_numbers(comp.join(named, "component").select(F.col("node").alias("fp"), "component", "component_id"))
     labels = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
     scratch.drop(comp)
     return fps.join(labels, "fp").select("doc_id", "t1", "fp", "component", "component_id")
@@ -224,7 +234,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: of the smallest doc_id, rows without one last; of rows that
     share it, the one whose text has the smallest hash. So a doc_id that stands on texts of several
     components is kept in each where it comes first. Of rows equal in doc_id and text one stays."""
-    found = written(_labelled(docs).select("doc_id", "t1", "component"))
+    found = Scratch(docs.sparkSession).write_numbers(_labelled(docs).select("doc_id", "t1", "component"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1")
     keep = found.groupBy("component").agg(F.min(first).alias("m")).select(F.col("m.doc_id").alias("_kept_id"), F.col("m.t1").alias("_kept_text"))
     out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]) & (F.xxhash64(docs["text"]) == keep["_kept_text"]), "left_semi")
