@@ -470,3 +470,34 @@ def test_pipeline_on_odd_rows_and_columns(spark, tmp_path):
             if i == 3:
                 assert Counter((r.doc_id, r.text) for r in now.collect()) == wanted
         assert now.count() == wanted.total() == corpus_pipeline.run(spark, folder).count()
+
+
+def test_stages_write_few_files_of_many(spark, tmp_path):
+    """Each costs executors processes. Rows of unknown size stay in the tasks they are in."""
+    import corpus_pipeline
+
+    rows = [(i, ["en", "de"][i % 2], ["the cat and the dog ", "der Hund und die Katze "][i % 2] * 9 + f"{i} " + text(40)) for i in range(300)]
+    held = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+        docs.repartition(60).write.parquet(str(tmp_path / "documents.parquet"))
+        spark.createDataFrame([(1, text(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+        read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        assert read.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+        files, kept = {}, {}
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, read, str(tmp_path)).write.parquet(str(tmp_path / name))
+            files[name] = len([*(tmp_path / name).glob("part-*")])
+            kept[name] = spark.read.parquet(str(tmp_path / name)).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(files.values()) <= 2 * spark.sparkContext.defaultParallelism
+    assert {kept[n] for n in ("decontamination", "pii", "bpe")} == {300}
+    assert kept["language_id"] == corpus_pipeline.identify_language(spark, docs, str(tmp_path)).count()
+    assert kept["simhash_near_dedup"] == corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count()
+    many = spark.range(0, 100, 1, 50)
+    assert common.by_size(many, docs).rdd.getNumPartitions() == 50 and common.by_size(many.limit(0), docs.limit(0)).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from itertools import chain
@@ -43,6 +44,17 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _GROUP_BYTES = 8 << 20
 
 
+def trim() -> None:
+    """Gives a worker's free memory back: it waits for further tasks, and what it once held would count
+    while others run. Where the C library can't, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def _to_file(folder: str, make):
     """For mapInArrow: writes what make makes of a task's rows, or the rows, to one file, which appears once it
     is whole; a task that runs again replaces it by equal rows."""
@@ -64,6 +76,8 @@ def _to_file(folder: str, make):
         if writer:
             writer.close()
             os.replace(hidden, f"{folder}/{name}")
+        writer = None
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
 
     return run
@@ -144,6 +158,18 @@ def written(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).write(df)
 
 
+#: Bytes of files that one task reads or writes where they are dealt out by size.
+TASK_BYTES = 16 << 20
+
+
+def by_size(df: DataFrame, read: DataFrame) -> DataFrame:
+    """df in no more tasks than the size of read, a table in files, asks for, and two for each core at least:
+    however many files or shuffle partitions there are, each file that a task writes costs its executor
+    processes (see write_numbers). Where the size isn't known, the tasks stay as they are."""
+    size = read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 1 << 30))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

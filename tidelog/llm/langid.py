@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, utf8_buffer
+from .common import slices, trim, utf8_buffer
 
 #: The bound of the labelled sample: rows per language, and letters per language.
 SAMPLE_ROWS = 40
@@ -417,5 +417,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 cols = {n: batch.column(n) for n in names}
                 cols["lang"] = pa.array([a if a is not None else b for a, b in zip(cols["lang"].to_pylist(), langs)], pa.string())
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=given).filter(keep)
+        trim()
 
     return docs.toDF(*names).mapInArrow(run, docs.schema)
