@@ -159,7 +159,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of files that one task reads or writes where they are dealt out by size.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 
 
 def by_size(df: DataFrame, read: DataFrame) -> DataFrame:
